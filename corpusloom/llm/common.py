@@ -50,10 +50,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words in data, and for each text the index of its first word (n + 1)."""
+def word_spans(data: np.ndarray, bounds: np.ndarray, parts: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words in data, and for each text the index of its first word (n + 1). parts: which bytes
+    part words."""
     word = np.zeros(len(data) + 2, bool)
-    word[1:-1] = ~IS_SPACE[data]
+    word[1:-1] = ~parts[data]
     begins = word[1:] & ~word[:-1]
     ends = ~word[1:] & word[:-1]
     cuts = bounds[1:-1]
@@ -65,12 +66,21 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, stops, np.searchsorted(starts, bounds)
 
 
+class SpanHashes:
+    """64-bit hashes of any spans of data, by prefix sums."""
+
+    def __init__(self, data: np.ndarray):
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * powers(_P, len(data)), out=self.sums[1:])
+        self.back = powers(_PINV, len(data) + 1)
+
+    def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return mix((self.sums[stops] - self.sums[starts]) * self.back[starts] + (stops - starts).astype(np.uint64))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of data."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(_P, len(data)), out=sums[1:])
-    back = powers(_PINV, len(data) + 1)
-    return mix((sums[stops] - sums[starts]) * back[starts] + (stops - starts).astype(np.uint64))
+    return SpanHashes(data).of(starts, stops)
 
 
 def blocks(bounds: np.ndarray, most: int):
@@ -90,6 +100,16 @@ def run_lengths(bounds_of_runs: np.ndarray, gather: np.ndarray) -> tuple[np.ndar
     return np.arange(to[-1]) + np.repeat(bounds_of_runs[gather] - to[:-1], size), to
 
 
+def fold(column, modulus: int):
+    """crc32 of the value as text, modulo; null for a null."""
+    return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
+
+
+def hashed_share(column, share: float):
+    """Whether a row is in a share of all rows that its value alone decides."""
+    return F.pmod(F.xxhash64(column, F.lit("sample")), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; one is set only where there is none, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
