@@ -262,7 +262,7 @@ def byte_level(path: str) -> ByteLevel:
     return ByteLevel(path)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", block_bytes: int = 16 << 20) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", block_bytes: int = 6 << 20) -> DataFrame:
     """df with the ids of each whole text in a column `out` (array of int, never null) instead of the text."""
     if out in df.columns:
         df = df.drop(out)
@@ -283,7 +283,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", block
     return df.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text", block_ids: int = 1 << 20) -> DataFrame:
     """df with the text of each list of ids in a column `out`; a null list has an empty text."""
     if out in df.columns:
         df = df.drop(out)
@@ -294,7 +294,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> Dat
         for batch in batches:
             lists = batch.column(ids)
             bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))]).astype(np.int64)
-            texts = held.decode(lists.flatten().to_numpy(False).astype(np.int64), bounds)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            flat = lists.flatten()
+            for i, j in blocks(bounds, block_ids) if batch.num_rows else ():
+                texts = held.decode(flat.slice(bounds[i], bounds[j] - bounds[i]).to_numpy(False).astype(np.int64), bounds[i : j + 1] - bounds[i])
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(texts, pa.string())], names=schema.names)
 
     return df.mapInArrow(run, schema)
