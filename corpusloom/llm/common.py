@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +103,57 @@ def run_lengths(bounds_of_runs: np.ndarray, gather: np.ndarray) -> tuple[np.ndar
     return np.arange(to[-1]) + np.repeat(bounds_of_runs[gather] - to[:-1], size), to
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of rows that come sorted by keys, cut between groups, and the bounds of their groups."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+        if not held:
+            return
+        last = held[-1]
+        change = np.zeros(last.num_rows - 1, bool)
+        for k in keys:
+            c = last.column(k)
+            change |= np.asarray(pc.not_equal(c.slice(1), c.slice(0, last.num_rows - 1)))
+        cut = 0
+        if batch is None:
+            cut = last.num_rows
+        elif change.any():
+            cut = int(np.flatnonzero(change)[-1]) + 1
+        elif len(held) > 1 and any(held[-2].column(k)[-1].as_py() != last.column(k)[0].as_py() for k in keys):
+            cut = 0
+        else:
+            continue
+        out = pa.Table.from_batches([*held[:-1], last.slice(0, cut)]).combine_chunks()
+        held = [last.slice(cut)] if cut < last.num_rows else []
+        if out.num_rows:
+            change = np.ones(out.num_rows, bool)
+            change[1:] = False
+            for k in keys:
+                c = out.column(k).combine_chunks() if out.column(k).num_chunks != 1 else out.column(k).chunk(0)
+                change[1:] |= np.asarray(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)))
+            yield out, np.append(np.flatnonzero(change), out.num_rows)
+
+
+def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least node that it is linked with, over any number of links (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        np.minimum.at(label, before[a], low)
+        np.minimum.at(label, before[b], low)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
 def fold(column, modulus: int):
     """crc32 of the value as text, modulo; null for a null."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
