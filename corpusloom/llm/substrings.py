@@ -169,15 +169,13 @@ def extend(a: np.ndarray, b: np.ndarray, most_edits: int = 3, sure: int = 3) ->
 
 def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, max_gap: int) -> list[tuple[int, int, int, int, int]]:
     """Parts (start, end, start in b, end in b, words alike) of the words a and b along matches of k words at x, y."""
-    parts, begin, same = [], 0, k
+    parts, same = [], k
     i, j = int(x[0]) + k, int(y[0]) + k
     starts = [(int(x[0]), int(y[0]))]
     for p, q in zip(x[1:].tolist(), y[1:].tolist(), strict=True):
         if p < i or q < j:  # overlaps the match before
             skip = max(i - p, j - q)
-            if p - i != q - j:
-                continue
-            if skip < k:
+            if p - i == q - j and skip < k:
                 same += k - skip
                 i, j = p + k, q + k
             continue
@@ -201,7 +199,6 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, ma
         u, v, more = extend(a[e:high_a], b[f:high_b])
         p, q, less = extend(a[low_a:s][::-1], b[low_b:t][::-1])
         out.append((s - p, e + u, t - q, f + v, same + more + less))
-    del begin
     return out
 
 
