@@ -209,6 +209,7 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     found = saved(seeds(df, doc_id, text, k, window), "seeds")
     once = F.col("at") % 2 == 0
     star = found.groupBy("h").agg(F.min("id").alias("other"), F.max("id").alias("most"), F.min_by(F.when(once, F.col("at")), F.when(once, F.col("id"))).alias("there")).where("other < most").select("h", "other", "there")
+    star = saved(star, "star")  # read again, both sides of the join come from an exchange, which can be split where it is hot
     matches = found.join(star, "h").where("id > other").select("id", "other", F.expr("at div 2").cast("int").alias("x"), F.expr("there div 2").cast("int").alias("y"))
     keys = ["id", "other"]
     spans = T.StructType([T.StructField("id", kind), T.StructField("other", kind), *(T.StructField(c, T.IntegerType()) for c in ("lo", "hi", "olo", "ohi")), T.StructField("x", T.BinaryType()), T.StructField("y", T.BinaryType())])
