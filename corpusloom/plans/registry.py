@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from corpusloom.plans import curation_queries, graph_queries, search_queries, store_queries
+
+PARTS = (search_queries, graph_queries, store_queries, curation_queries)
+QUERIES = {k: v for m in PARTS for k, v in m.BOOK.queries.items()}
+ORACLES = {k: v for m in PARTS for k, v in m.BOOK.oracles.items()}
