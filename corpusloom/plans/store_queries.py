@@ -1,7 +1,294 @@
-"""Queries, to be filled."""
+"""Queries of sources, sinks, index changes, joins, coverage and change processing."""
 
 from __future__ import annotations
 
-from corpusloom.plans.book import Book
+from pyspark.sql import functions as F
+
+from corpusloom.functions import paths
+from corpusloom.operators import curation, maintenance, sync
+from corpusloom.plans.book import EDGES, FILES, Book, Tables
+from corpusloom.sources import files as source
+from corpusloom.streaming import jobs
 
 BOOK = q = Book()
+SNAPSHOTS = """a AS (SELECT o_orderkey AS path, o_custkey AS size, 1 AS mtime FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT o_orderkey AS path, CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey + 1 ELSE o_custkey END AS size, 1 AS mtime FROM orders WHERE o_orderstatus <> 'F')"""
+INDEXED = f"{FILES}, done AS (SELECT filepath FROM files JOIN labels USING (doc_id))"
+
+
+def _done(t: Tables):
+    return t.files.join(t.labels.select("doc_id").distinct(), "doc_id", "left_semi").select("filepath")
+
+
+@q("src03_shards", f"WITH {FILES}, n AS (SELECT filepath, row_number() OVER (ORDER BY filepath) AS ino FROM files) SELECT CAST((ino - 1) % 4 AS BIGINT) AS shard, count(*) AS files, sum(ino) AS inos FROM n GROUP BY 1")
+def _(t: Tables):
+    numbered = source._numbered(t.files.select("filepath"))
+    return numbered.groupBy(F.pmod(F.col("ino") - 1, F.lit(4)).alias("shard")).agg(F.count("*").alias("files"), F.sum("ino").alias("inos"))
+
+
+@q("src04_resume", f"WITH {INDEXED} SELECT filepath FROM files WHERE filepath NOT IN (SELECT filepath FROM done)")
+def _(t: Tables):
+    return maintenance.unindexed(t.files.select("filepath"), _done(t))
+
+
+@q("src05_sniff", "SELECT page_id, CASE WHEN regexp_matches(lower(html), '^[ \\t\\r\\n\\f]*(<html|<!doctype)') THEN 'html' WHEN starts_with(html, '%PDF') THEN 'pdf' ELSE 'unknown' END AS format FROM pages WHERE html IS NOT NULL")
+def _(t: Tables):
+    return t.pages.where("html IS NOT NULL").select("page_id", source.sniff(F.col("html").cast("binary")).alias("format"))
+
+
+@q("src13_routing", f"WITH {FILES} SELECT doc_id, CASE WHEN filepath LIKE '%.csv' AND trim(text) <> '' THEN 'table' ELSE 'text' END AS route FROM files")
+def _(t: Tables):
+    return t.files.select("doc_id", source.route(F.col("filepath"), F.col("text").cast("binary")).alias("route"))
+
+
+@q("src12_extract")
+def _(t: Tables):
+    pages = t.pages.select(F.col("url").alias("filepath"), F.col("html").cast("binary").alias("data"))
+    return source.extract(pages).select("filepath", "route", F.md5("text").alias("text_md5"), "reason")
+
+
+@q("src16_ledger", "SELECT doc_id, octet_length(encode(text)) AS bytes FROM documents WHERE trim(text, ' ') = '' OR text IS NULL")
+def _(t: Tables):
+    own = t.documents.select(F.col("doc_id").cast("string").alias("filepath"), F.col("text").cast("binary").alias("data"))
+    return source.ledger(source.extract(own)).select(F.col("filepath").cast("long").alias("doc_id"), "bytes")
+
+
+@q("snk01_tree", f"WITH {FILES}, p AS (SELECT DISTINCT concat('/', split_part(filepath, '/', 2)) AS path, true AS is_dir FROM files UNION SELECT concat('/', split_part(filepath, '/', 2), '/', split_part(filepath, '/', 3)), true FROM files UNION SELECT filepath, false FROM files) SELECT path, CASE WHEN regexp_replace(path, '/[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '/[^/]*$', '') END AS parent, regexp_extract(path, '([^/]*)$', 1) AS name, is_dir FROM p")
+def _(t: Tables):
+    return maintenance.tree(t.files.select("filepath"))[0]
+
+
+@q("snk01_blocks", "WITH f AS (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents) SELECT doc_id AS ino, CAST(ceil(n / 4096.0) AS BIGINT) AS blocks, n AS bytes FROM f WHERE n > 0")
+def _(t: Tables):
+    own = t.documents.select(F.col("doc_id").alias("ino"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    return maintenance.blocks_of(own).groupBy("ino").agg(F.count("*").alias("blocks"), F.sum(F.octet_length("data")).alias("bytes"))
+
+
+@q("snk02_extracted", f"WITH {FILES} SELECT concat(filepath, '.extracted.md') AS filepath FROM files")
+def _(t: Tables):
+    return maintenance.extracted_siblings(t.files.select("filepath", "text"), t.files).select("filepath")
+
+
+@q("snk04_merge", f"WITH {FILES} SELECT filepath, row_number() OVER (ORDER BY filepath) AS chunk_id FROM files")
+def _(t: Tables):
+    own = t.files.select("filepath", "chunk_id", F.lit(0).alias("ord"))
+    even = F.col("chunk_id") % 2 == 0
+    return maintenance.merged_indexes([own.where(even), own.where(~even)]).select("filepath", "chunk_id")
+
+
+@q("snk05_surface_clean", f"WITH {FILES}, u AS (SELECT filepath FROM files UNION ALL SELECT concat('/kg', filepath) FROM files UNION ALL SELECT '/KNOWLEDGE_GRAPH.md') SELECT filepath FROM u WHERE NOT starts_with(filepath, '/kg/') AND filepath <> '/KNOWLEDGE_GRAPH.md'")
+def _(t: Tables):
+    own = t.files.select("filepath")
+    extra = own.select(F.concat(F.lit("/kg"), "filepath").alias("filepath")).unionByName(own.sparkSession.createDataFrame([("/KNOWLEDGE_GRAPH.md",)], "filepath string"))
+    return maintenance.surface_cleaned(own.unionByName(extra))
+
+
+@q("dml01_index", "SELECT l_orderkey AS filepath, l_linenumber AS ord, 'old' AS text FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT o_orderkey, 0, 'new' FROM orders WHERE o_orderstatus = 'F'")
+def _(t: Tables):
+    old = t.lineitem.select(F.col("l_orderkey").alias("filepath"), F.col("l_linenumber").alias("ord"), F.lit("old").alias("text"))
+    return maintenance.indexed(old, t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("filepath"), F.lit(0).alias("ord"), F.lit("new").alias("text")))
+
+
+@q("dml02_remove", f"WITH {EDGES} SELECT from_path, to_path, edge_kind FROM edges WHERE from_path NOT IN (SELECT concat('/orders/', o_orderkey, '.md') FROM orders WHERE o_orderstatus = 'P')")
+def _(t: Tables):
+    gone = t.orders.where("o_orderstatus = 'P'").select(F.concat(F.lit("/orders/"), "o_orderkey", F.lit(".md")).alias("filepath"))
+    return maintenance.removed(t.edges, gone, "from_path")
+
+
+@q("dml03_rename", f"""WITH {FILES}, m AS (SELECT filepath AS old, CASE WHEN lang = 'de' THEN regexp_replace(filepath, '[.][^.]*$', '.py') ELSE concat('/moved', filepath) END AS new FROM files WHERE lang IN ('de', 'fr') AND NOT (lang = 'de' AND filepath LIKE '%.py'))
+SELECT coalesce(m.new, f.filepath) AS filepath, chunk_id FROM files f LEFT JOIN m ON m.old = f.filepath WHERE f.filepath NOT IN (SELECT new FROM m) AND (m.new IS NULL OR (f.filepath LIKE '%.py') = (m.new LIKE '%.py'))""")
+def _(t: Tables):
+    own = t.files.select("filepath", "chunk_id")
+    new = F.when(F.col("lang") == "de", F.regexp_replace("filepath", r"\.[^.]*$", ".py")).otherwise(F.concat(F.lit("/moved"), "filepath"))
+    moves = t.files.where(F.col("lang").isin("de", "fr")).where(~((F.col("lang") == "de") & F.endswith("filepath", F.lit(".py")))).select(F.col("filepath").alias("old"), new.alias("new"))
+    return maintenance.renamed(own, moves)
+
+
+@q("dml08_siblings", f"WITH {FILES}, all_ AS (SELECT filepath FROM files UNION ALL SELECT concat(filepath, '.extracted.md') FROM files) SELECT filepath FROM all_ WHERE filepath LIKE '%.extracted.md' AND filepath LIKE '/src0/%'")
+def _(t: Tables):
+    own = t.files.select("filepath")
+    every = own.unionByName(own.select(F.concat("filepath", F.lit(paths.EXTRACTED)).alias("filepath")))
+    return maintenance.siblings(every, own.where(F.startswith("filepath", F.lit("/src0/"))))
+
+
+@q("dml05_retarget", "SELECT CASE WHEN event_type = 'click' THEN user_id + 1000 ELSE user_id END AS filepath, event_id FROM events WHERE user_id < 1000")
+def _(t: Tables):
+    queue = t.events.select(F.concat_ws("/", F.col("event_type"), F.col("user_id").cast("string")).alias("filepath"), "event_id")
+    moves = t.events.where("event_type = 'click'").select(F.concat_ws("/", F.col("event_type"), F.col("user_id").cast("string")).alias("old"), F.concat_ws("/", F.col("event_type"), (F.col("user_id") + 1000).cast("string")).alias("new")).distinct()
+    return sync.retargeted(queue, moves).select(F.substring_index("filepath", "/", -1).cast("long").alias("filepath"), "event_id")
+
+
+@q("dml07_read_range", "SELECT doc_id AS ino, CASE WHEN strlen(t) <= 100 THEN '' ELSE md5(left(substr(t, 101), 5000)) END AS part_md5 FROM (SELECT doc_id, strip_accents(regexp_replace(coalesce(text, ''), '[^ -~\n]', '?', 'g')) AS t FROM documents)")
+def _(t: Tables):
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~\n]", "?")
+    own = t.documents.select(F.col("doc_id").alias("ino"), plain.cast("binary").alias("data"))
+    out = maintenance.read_bytes(maintenance.blocks_of(own), own.select("ino", F.octet_length("data").alias("size")), 100, 5000)
+    return out.select("ino", F.when(F.octet_length("data") == 0, "").otherwise(F.md5("data")).alias("part_md5"))
+
+
+@q("dml10_lane_rebuild", "SELECT vec_id, CASE WHEN label % 2 = 1 THEN 'code' ELSE 'text' END AS lane, CASE WHEN label % 2 = 1 THEN 2 ELSE 64 END AS width FROM embeddings")
+def _(t: Tables):
+    own = t.embeddings.select("vec_id", F.when(F.col("label") % 2 == 1, "code").otherwise("text").alias("lane"), "embedding")
+    return maintenance.lane_rebuild(own, own.withColumn("embedding", F.slice("embedding", 1, 2)), {"code": 2, "text": 64}).select("vec_id", "lane", F.size("embedding").alias("width"))
+
+
+@q("emb05_searchable", "SELECT (SELECT count(*) FROM embeddings) AS chunks, (SELECT count(*) FROM embeddings) AS vectors, CAST(0 AS BIGINT) AS odd, true AS searchable")
+def _(t: Tables):
+    return maintenance.vector_check(t.embeddings.select("vec_id"), t.embeddings, "hash-64", "hash-64", 64)
+
+
+@q("emb07_mean_embedding", "WITH x AS (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) SELECT label, CAST(pos AS INT) AS pos, round(avg(CAST(x AS DOUBLE)), 9) AS avg FROM x GROUP BY label, pos")
+def _(t: Tables):
+    return maintenance.mean_vectors(t.embeddings, "label").select("label", "pos", F.round("avg", 9).alias("avg"))
+
+
+@q("joi06_outer_nulls", "SELECT count(*) AS files, count(CASE WHEN l.doc_id IS NULL THEN 1 END) AS unlabelled FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def _(t: Tables):
+    own = t.labels.select("doc_id").distinct().withColumn("l", F.lit(1))
+    return t.documents.join(own, "doc_id", "left").agg(F.count("*").alias("files"), F.count_if(F.col("l").isNull()).alias("unlabelled"))
+
+
+@q("joi11_snapshot_diff", f"WITH {SNAPSHOTS} SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'created' WHEN b.path IS NULL THEN 'deleted' WHEN a.size = b.size THEN 'unchanged' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.path = b.path")
+def _(t: Tables):
+    return _diff(t).select("path", "change")
+
+
+def _diff(t: Tables):
+    before = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("size"), F.lit(1).alias("mtime"))
+    after = t.orders.where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("size"), F.lit(1).alias("mtime"))
+    return maintenance.snapshot_diff(before, after)
+
+
+@q("joi14_full_paths", "SELECT CAST(r_regionkey + 10 AS BIGINT) AS ino, concat('/', r_name) AS path FROM region UNION ALL SELECT n_nationkey + 100, concat('/', r_name, '/', n_name) FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT c_custkey + 1000, concat('/', r_name, '/', n_name, '/', c_name) FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def _(t: Tables):
+    r = t.region.select(F.col("r_name").alias("name"), F.lit(1).cast("long").alias("parent_ino"), (F.col("r_regionkey") + 10).cast("long").alias("ino"))
+    n = t.nation.select(F.col("n_name").alias("name"), (F.col("n_regionkey") + 10).cast("long").alias("parent_ino"), (F.col("n_nationkey") + 100).cast("long").alias("ino"))
+    c = t.customer.select(F.col("c_name").alias("name"), (F.col("c_nationkey") + 100).cast("long").alias("parent_ino"), (F.col("c_custkey") + 1000).cast("long").alias("ino"))
+    return maintenance.full_paths(r.union(n).union(c))
+
+
+@q("agg05_fs_stats", "SELECT count(*) AS inodes, CAST(sum(CASE WHEN p_size % 5 <> 0 THEN p_size ELSE 0 END) AS BIGINT) AS bytes FROM part")
+def _(t: Tables):
+    return maintenance.fs_stats(t.part.select(F.when(F.col("p_size") % 5 == 0, 16877).otherwise(33188).alias("mode"), F.col("p_size").alias("size")))
+
+
+@q("agg06_coverage", f"WITH {INDEXED}, c AS (SELECT count(*) AS content, count(d.filepath) AS reachable FROM files f LEFT JOIN (SELECT DISTINCT filepath FROM done) d USING (filepath) WHERE length(text) > 0) SELECT content, reachable, content - reachable AS unreachable, round(CAST(reachable AS DOUBLE) / content, 9) AS coverage, content - reachable <= 11 AND CAST(reachable AS DOUBLE) / content >= 0.3 AS complete FROM c")
+def _(t: Tables):
+    out = maintenance.coverage(t.files.select("filepath", F.length("text").alias("size")), _done(t), 11, 0.3)
+    return out.withColumn("coverage", F.round("coverage", 9))
+
+
+@q("agg07_buckets", f"WITH {INDEXED} SELECT CASE WHEN filepath IN (SELECT filepath FROM done) THEN 'direct' WHEN lang = 'de' THEN 'sibling' WHEN lang = 'fr' THEN 'failed' WHEN lang = 'es' THEN 'unembedded' ELSE 'other' END AS bucket, count(*) AS files FROM files GROUP BY 1")
+def _(t: Tables):
+    own = t.files.select("filepath", "lang")
+    chunks = own.where("lang = 'es'").select("filepath").unionByName(own.where("lang = 'de'").select(F.concat("filepath", F.lit(paths.EXTRACTED)).alias("filepath")))
+    return maintenance.coverage_buckets(own, chunks, own.where("lang = 'fr'"), _done(t))
+
+
+@q("agg08_directory_map", f"WITH {FILES} SELECT concat('/', split_part(filepath, '/', 2)) AS dir, count(*) AS files FROM files GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def _(t: Tables):
+    from corpusloom.operators.graph import directory_map
+
+    return directory_map(t.files)
+
+
+@q("set03_first_wins", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
+def _(t: Tables):
+    return maintenance.first_wins(t.events, F.col("user_id"), order="event_id").select("user_id", "event_id")
+
+
+@q("fil14_visible", f"WITH {FILES} SELECT DISTINCT concat('/', split_part(filepath, '/', 2)) AS path FROM files UNION SELECT DISTINCT concat('/', split_part(filepath, '/', 2), '/', split_part(filepath, '/', 3)) FROM files")
+def _(t: Tables):
+    return maintenance.visible(maintenance.tree(t.files.select("filepath"))[0]).select("path")
+
+
+@q("cur22_layers", "SELECT 'files' AS layer, count(*) AS rows FROM documents UNION ALL SELECT 'vectors', count(*) FROM embeddings UNION ALL SELECT 'edges', count(*) FROM lineitem UNION ALL SELECT 'entities', count(*) FROM part")
+def _(t: Tables):
+    return maintenance.completeness(files=t.documents, vectors=t.embeddings, edges=t.lineitem, entities=t.part)
+
+
+@q("cur24_changed", f"WITH {SNAPSHOTS}, d AS (SELECT coalesce(a.path, b.path) AS path, a.size AS x, b.size AS y FROM a FULL JOIN b ON a.path = b.path) SELECT o_custkey AS workspace, count(CASE WHEN x IS NULL OR y IS NULL OR x <> y THEN 1 END) AS changes FROM d JOIN orders ON o_orderkey = path GROUP BY 1 HAVING changes > 0")
+def _(t: Tables):
+    own = _diff(t).join(t.orders.select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("workspace")), "path")
+    return curation.changed_workspaces(own)
+
+
+CHANGES = "ch AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS updated_at, o_orderstatus AS status FROM orders)"
+
+
+def _changes(t: Tables):
+    return t.orders.select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"), F.col("o_orderstatus").alias("status"))
+
+
+@q("str01_delta", f"WITH {CHANGES} SELECT id, updated_at FROM ch WHERE updated_at > '1998-01-01T00:00:00'")
+def _(t: Tables):
+    return sync.delta(_changes(t), "1998-01-01T00:00:00").select("id", "updated_at")
+
+
+@q("str01_watermark", f"WITH {CHANGES} SELECT max(updated_at) AS last_seen FROM ch")
+def _(t: Tables):
+    return sync.watermark(_changes(t))
+
+
+@q("str02_reconcile", """WITH ch AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'odd' ELSE concat('/d/', o_custkey, '/', o_orderkey, '.md') END AS fp, CASE o_orderstatus WHEN 'P' THEN 'processing' ELSE 'done' END AS status, epoch_ms(o_orderdate) AS u, CASE WHEN o_orderpriority = '1-URGENT' THEN 'pdf' ELSE 'text' END AS type, o_totalprice > 100000 AS has_url FROM orders),
+c2 AS (SELECT id, CASE WHEN fp = 'odd' THEN concat('/', id, '.md') ELSE fp END AS filepath, status, u, type, has_url FROM ch),
+lo AS (SELECT o_orderkey AS ino, concat('/d/', o_custkey, '/', o_orderkey, '.md') AS filepath, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS remote_id, CASE WHEN o_orderkey % 2 = 0 THEN epoch_ms(o_orderdate) END AS m, CASE WHEN o_orderkey % 5 = 0 THEN epoch_ms(o_orderdate) + 10 END AS d FROM orders WHERE o_orderkey % 3 <> 2)
+SELECT c2.id, c2.filepath, CASE WHEN k.remote_id IS NOT NULL AND k.d > u THEN 'SkippedDirty' WHEN k.remote_id IS NOT NULL AND k.m >= u AND status = 'done' THEN 'Unchanged' WHEN k.remote_id IS NOT NULL THEN 'Updated' WHEN status <> 'done' THEN 'DeferredProcessing'
+WHEN p.ino IS NOT NULL AND p.d > u THEN 'SkippedDirty' WHEN p.ino IS NOT NULL THEN 'Attached' WHEN type = 'pdf' THEN CASE WHEN has_url THEN 'NeedsRehydrate' ELSE 'DeferredProcessing' END ELSE 'Created' END AS outcome
+FROM c2 LEFT JOIN lo k ON k.remote_id = c2.id LEFT JOIN lo p ON p.filepath = c2.filepath""")
+def _(t: Tables):
+    key, ms = F.col("o_orderkey"), F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    fp = F.concat(F.lit("/d/"), "o_custkey", F.lit("/"), "o_orderkey", F.lit(".md"))
+    changes = t.orders.select(key.alias("id"), F.when(key % 7 == 0, "odd").otherwise(fp).alias("filepath"), F.when(F.col("o_orderstatus") == "P", "processing").otherwise("done").alias("status"), ms.alias("updated_ms"), F.when(F.col("o_orderpriority") == "1-URGENT", "pdf").otherwise("text").alias("type"), (F.col("o_totalprice") > 100000).alias("has_url"))
+    local = t.orders.where(key % 3 != 2).select(key.alias("ino"), fp.alias("filepath"), F.when(key % 3 == 0, key).alias("remote_id"), F.when(key % 2 == 0, ms).alias("mirrored_ms"), F.when(key % 5 == 0, ms + 10).alias("dirty_since"))
+    return sync.reconciled(changes, local)
+
+
+@q("str03_latest_wins", "SELECT user_id AS filepath, max(event_id) AS seq, max_by(event_type, event_id) AS op, max_by(CASE WHEN value > 50 THEN event_id END, CASE WHEN value > 50 THEN event_id END) AS remote_id FROM events GROUP BY user_id")
+def _(t: Tables):
+    ops = t.events.select(F.col("user_id").alias("filepath"), F.col("event_id").alias("seq"), F.col("event_type").alias("op"), F.when(F.col("value") > 50, F.col("event_id")).alias("remote_id"))
+    return sync.latest(ops)
+
+
+@q("str03_queue")
+def _(t: Tables):
+    kind = F.when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "error", "fail").otherwise("write")
+    events = t.events.select(F.col("user_id").cast("string").alias("filepath"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_type").alias("op"), F.lit(None).cast("string").alias("remote_id"))
+    return jobs.queue_table(events)
+
+
+@q("str04_claim", "SELECT event_id AS filepath, epoch_ms(ts) AS updated_at FROM events WHERE event_type <> 'error' AND value >= 5 AND epoch_ms(ts) <= 1704500000000 ORDER BY 2, 1 LIMIT 25")
+def _(t: Tables):
+    queue = t.events.select(F.col("event_id").alias("filepath"), F.unix_millis(F.col("ts").cast("timestamp")).alias("updated_at"), F.when(F.col("value") < 5, F.lit(1)).alias("inflight_started_at"), (F.col("event_type") == "error").alias("poisoned"))
+    return sync.claimable(queue.where("NOT isnan(updated_at)"), 1_704_500_000_000, 25).select("filepath", "updated_at")
+
+
+@q("str05_finalise", "SELECT event_id AS filepath, CASE WHEN event_type = 'click' THEN 'next' ELSE 'now' END AS op, CASE WHEN event_type = 'click' THEN 0 ELSE 3 END AS attempt, CASE WHEN event_type = 'click' THEN 1000 ELSE 1000 + 2000 END AS updated_at FROM events WHERE event_type IN ('click', 'error')")
+def _(t: Tables):
+    queue = t.events.select(F.col("event_id").alias("filepath"), F.lit("now").alias("op"), F.when(F.col("event_type") == "click", "next").alias("pending_op"), F.lit(2).alias("attempt"), F.lit(0).cast("long").alias("updated_at"), F.lit(1).cast("long").alias("inflight_started_at"), F.lit(False).alias("poisoned"))
+    results = t.events.select(F.col("event_id").alias("filepath"), (F.col("event_type") != "error").alias("ok"))
+    return sync.finalised(queue, results, 1000).select("filepath", "op", "attempt", F.col("updated_at").cast("int").alias("updated_at"))
+
+
+@q("str06_backoff", "SELECT p_partkey, CASE p_size % 9 WHEN 0 THEN 500 WHEN 1 THEN 500 WHEN 2 THEN 1000 WHEN 3 THEN 2000 WHEN 4 THEN 5000 WHEN 5 THEN 15000 WHEN 6 THEN 30000 ELSE 60000 END AS delay FROM part")
+def _(t: Tables):
+    return t.part.select("p_partkey", sync.backoff_ms(F.col("p_size") % 9).alias("delay"))
+
+
+@q("str07_debounce", "WITH w AS (SELECT user_id AS filepath, epoch_ms(ts) AS at_ms, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts)) AS n FROM events) SELECT filepath, at_ms FROM w WHERE n IS NULL OR n - at_ms > 3600000")
+def _(t: Tables):
+    return sync.debounced(t.events.select(F.col("user_id").alias("filepath"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms")), 3_600_000)
+
+
+@q("str08_deletion_scan", "SELECT c_custkey AS remote_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def _(t: Tables):
+    return sync.deleted(t.customer.select(F.col("c_custkey").alias("remote_id")), t.orders.select(F.col("o_custkey").alias("id")))
+
+
+@q("str09_poll_tiers", "SELECT CASE WHEN o_totalprice / 50 < 60 THEN 'fast' WHEN o_totalprice / 50 < 300 THEN 'medium' WHEN o_totalprice / 50 < 3600 THEN 'slow' ELSE 'stop' END AS tier, count(*) AS n FROM orders GROUP BY 1")
+def _(t: Tables):
+    return t.orders.groupBy(sync.poll_tier(F.col("o_totalprice") / 50).alias("tier")).agg(F.count("*").alias("n"))
+
+
+@q("str10_interval", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN greatest(p_size / 3.0, 10) WHEN p_size % 7 >= 3 THEN least(p_size * 2.0, 60) ELSE p_size END AS interval_s FROM part")
+def _(t: Tables):
+    return t.part.select("p_partkey", sync.poll_interval(F.col("p_size"), F.col("p_size") % 2 == 0, F.col("p_size") % 7).alias("interval_s"))
