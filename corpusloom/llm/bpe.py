@@ -262,7 +262,7 @@ def byte_level(path: str) -> ByteLevel:
     return ByteLevel(path)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", block_bytes: int = 6 << 20) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", block_bytes: int = 4 << 20) -> DataFrame:
     """df with the ids of each whole text in a column `out` (array of int, never null) instead of the text."""
     if out in df.columns:
         df = df.drop(out)

@@ -176,7 +176,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     return Model(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), [r["lang"] for r in rows])
 
 
-def identify(df: DataFrame, model: Model | None, text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def identify(df: DataFrame, model: Model | None, text: str = "text", block_bytes: int = 1 << 20) -> DataFrame:
     """df with lang_pred and score (0 to 1)."""
     df = df.drop("lang_pred", "score")
     schema = T.StructType([*df.schema, T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])

@@ -42,7 +42,7 @@ class WordLevel:
         self.special = regex.compile("|".join(map(regex.escape, self.merges.special)) or "(?!)")
         self.nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64))
         #: Words whose ids are kept: sorted hashes, ids side by side, bounds. Begun anew beyond most_known words.
-        self.memo, self.most_known = self.nothing, 2_000_000
+        self.memo, self.most_known = self.nothing, 1_000_000
 
     def parts(self, words: str) -> list[str]:
         """Pretokens of words that lie on a line each, with the ends of lines."""
@@ -179,7 +179,7 @@ def powers_of_two(row: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, i
             yield out
 
 
-def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 1, block_tokens: int = 8 << 20, block_bytes: int = 4 << 20) -> DataFrame:
+def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 1, block_tokens: int = 4 << 20, block_bytes: int = 3 << 20) -> DataFrame:
     """Pieces of all documents: the id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens,
     sequence_id and offset."""
     kind = df.schema[doc_id].dataType

@@ -134,7 +134,7 @@ def measured(texts: pa.Array, min_repeat: int) -> list[np.ndarray]:
     ]
 
 
-def measure(df: DataFrame, text: str = "text", min_repeat: int = 5, block_bytes: int = 4 << 20) -> DataFrame:
+def measure(df: DataFrame, text: str = "text", min_repeat: int = 5, block_bytes: int = 2 << 20) -> DataFrame:
     """df with COLUMNS (long) beside its own; columns of df with such a name are replaced."""
     df = df.drop(*COLUMNS)
     schema = T.StructType([*df.schema, *(T.StructField(c, T.LongType(), False) for c in COLUMNS)])

@@ -184,7 +184,7 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = []
-            for i, j in blocks(buffers(batch.column("text"))[1], 4 << 20):
+            for i, j in blocks(buffers(batch.column("text"))[1], 2 << 20):
                 data, bounds = buffers(pc.utf8_lower(batch.column("text").slice(i, j - i).cast(pa.large_string())))
                 starts, stops, first = word_spans(data, bounds, _PART)
                 h = SpanHashes(data).of(starts, stops)
@@ -199,7 +199,7 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in blocks(buffers(batch.column("text"))[1], 4 << 20):
+            for i, j in blocks(buffers(batch.column("text"))[1], 2 << 20):
                 y = np.asarray(batch.column("y").slice(i, j - i))
                 where, found = features(batch.column("text").slice(i, j - i))
                 hashes, codes = np.unique(found, return_inverse=True)
@@ -224,7 +224,7 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in blocks(buffers(batch.column("text"))[1], 4 << 20):
+            for i, j in blocks(buffers(batch.column("text"))[1], 2 << 20):
                 where, found = features(batch.column("text").slice(i, j - i), hashes)
                 where, codes = distinct(where, np.searchsorted(hashes, found))
                 ends = np.searchsorted(where, np.arange(j - i + 1))
@@ -243,7 +243,7 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     return Model(hashes, weights, bias)
 
 
-def score(df: DataFrame, model: Model, text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def score(df: DataFrame, model: Model, text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
     """df with score (0 to 1) and predicted (1 from 0.5 on)."""
     df = df.drop("score", "predicted")
     schema = T.StructType([*df.schema, T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)])
