@@ -61,7 +61,7 @@ HISTORY = "h AS (SELECT l_orderkey AS k, l_linenumber AS n, CASE l_returnflag WH
 
 def _history(t: Tables):
     v = F.when(F.col("l_returnflag") == "A", "ERROR").when(F.col("l_returnflag") == "N", "LOSSY").otherwise("LOSSLESS")
-    step = F.struct(F.col("l_linenumber").alias("n"), v.alias("verdict"), F.concat(F.lit("attempt "), F.col("l_linenumber").cast("string")).alias("compressed"), F.when(v == "LOSSY", F.array(F.lit("fact"))).otherwise(F.array().cast("array<string>")).alias("dropped"))
+    step = F.struct(F.col("l_linenumber").alias("n"), v.alias("verdict"), F.concat(F.lit("an attempt that is long enough to be of use: "), F.col("l_linenumber").cast("string")).alias("compressed"), F.when(v == "LOSSY", F.array(F.lit("fact"))).otherwise(F.array().cast("array<string>")).alias("dropped"))
     own = t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(step)).alias("history"))
     return own.select(F.col("k").alias("original"), F.lit(1).alias("tier"), F.when(F.col("k") % 2 == 0, "LOSSLESS").otherwise("IDENTITY").alias("verdict"), F.concat(F.lit("c"), F.col("k").cast("string")).alias("compressed"), "history")
 
@@ -71,7 +71,7 @@ def _(t: Tables):
     return curation.kept_verdicts(_history(t)).select("original")
 
 
-@q("cur09_preferences", f"WITH {HISTORY}, f AS (SELECT k, min(n) AS n FROM h WHERE v = 'LOSSY' AND k % 2 = 0 GROUP BY k) SELECT k AS original, concat('attempt ', n) AS rejected FROM f")
+@q("cur09_preferences", f"WITH {HISTORY}, f AS (SELECT k, min(n) AS n FROM h WHERE v = 'LOSSY' AND k % 2 = 0 GROUP BY k) SELECT k AS original, concat('an attempt that is long enough to be of use: ', n) AS rejected FROM f")
 def _(t: Tables):
     return curation.preference_pairs(_history(t)).select("original", "rejected")
 
@@ -88,7 +88,7 @@ def _(t: Tables):
     return out.select(six("pass_rate"), "least", six("p10"), six("median"))
 
 
-@q("cur12_negatives", f"WITH {HISTORY} SELECT k AS original, concat('attempt ', n) AS negative FROM h WHERE v = 'LOSSY' AND false")
+@q("cur12_negatives", f"WITH {HISTORY} SELECT k AS original, concat('an attempt that is long enough to be of use: ', n) AS negative FROM h WHERE v = 'LOSSY'")
 def _(t: Tables):
     return curation.rejected_attempts(_history(t)).select("original", "negative")
 
@@ -141,7 +141,7 @@ def _(t: Tables):
     return curation.fact_gate(t.benchmark.select("item_id", o.alias("o"), c.alias("c")), "o", "c").select("item_id", "number_share", "kept_facts")
 
 
-@q("cur20_subsequence", "SELECT item_id, CASE item_id % 2 WHEN 0 THEN 1.0 ELSE 0.5 END AS share FROM benchmark")
+@q("cur20_subsequence", "SELECT item_id, CAST(CASE item_id % 2 WHEN 0 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS share FROM benchmark")
 def _(t: Tables):
     c = F.when(F.col("item_id") % 2 == 0, "alpha beta").otherwise("alpha zzz")
     return t.benchmark.select("item_id", tx.subsequence_share(F.lit("alpha and Beta"), c).alias("share"))
@@ -201,7 +201,7 @@ def _(t: Tables):
     return curation.correlation(t.lineitem, "l_quantity", "l_extendedprice").select(six("r"))
 
 
-@q("agg12_scores", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE NULL END AS score FROM part")
+@q("agg12_scores", "SELECT p_partkey, CAST(CASE p_size % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE NULL END AS DOUBLE) AS score FROM part")
 def _(t: Tables):
     text = F.when(F.col("p_size") % 3 == 0, "2/4").when(F.col("p_size") % 3 == 1, "0.25").otherwise("7")
     return t.part.select("p_partkey", curation.score_of(text).alias("score"))
@@ -223,7 +223,7 @@ def _(t: Tables):
     return t.documents.join(t.labels, "doc_id").groupBy("lang", "quality").agg(F.count("*").alias("n"))
 
 
-@q("agg16_quality", "SELECT l_shipmode AS model, 0.0 AS score FROM (SELECT l_returnflag AS l_shipmode FROM lineitem) WHERE false UNION ALL SELECT l_returnflag, round(avg(1 - l_tax) * (1 - avg(l_discount)), 6) FROM lineitem GROUP BY 1")
+@q("agg16_quality", "SELECT l_returnflag AS model, round(avg(1 - l_tax) * (1 - avg(l_discount)), 6) FROM lineitem GROUP BY 1")
 def _(t: Tables):
     return curation.quality_score(t.lineitem.withColumn("cos", 1 - F.col("l_tax")).withColumnRenamed("l_returnflag", "model"), "model", "cos", "l_discount").select("model", six("score"))
 
@@ -268,9 +268,9 @@ def _(t: Tables):
     return t.files.orderBy(F.length("text").desc(), "lang", "filepath").select("doc_id").limit(50)
 
 
-@q("set01_difference", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 25")
+@q("set01_difference", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 47")
 def _(t: Tables):
-    return t.part.select(F.col("p_partkey").alias("k")).exceptAll(t.lineitem.where("l_quantity > 25").select("l_partkey").distinct())
+    return t.part.select(F.col("p_partkey").alias("k")).exceptAll(t.lineitem.where("l_quantity > 47").select("l_partkey").distinct())
 
 
 @q("iso_millis", "SELECT o_orderkey, epoch_ms(o_orderdate) + 250 AS ms FROM orders")

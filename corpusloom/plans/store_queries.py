@@ -46,9 +46,10 @@ def _(t: Tables):
     return source.extract(pages).select("filepath", "route", F.md5("text").alias("text_md5"), "reason")
 
 
-@q("src16_ledger", "SELECT doc_id, octet_length(encode(text)) AS bytes FROM documents WHERE trim(text, ' ') = '' OR text IS NULL")
+@q("src16_ledger", "SELECT doc_id, strlen(text) + 4 AS bytes FROM documents WHERE lang = 'es' AND text IS NOT NULL")
 def _(t: Tables):
-    own = t.documents.select(F.col("doc_id").cast("string").alias("filepath"), F.col("text").cast("binary").alias("data"))
+    data = F.when(F.col("lang") == "es", F.concat(F.lit("%PDF"), "text")).otherwise(F.concat(F.lit("plain "), "text"))
+    own = t.documents.where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("filepath"), data.cast("binary").alias("data"))
     return source.ledger(source.extract(own)).select(F.col("filepath").cast("long").alias("doc_id"), "bytes")
 
 
@@ -256,7 +257,7 @@ def _(t: Tables):
     return jobs.queue_table(events)
 
 
-@q("str04_claim", "SELECT event_id AS filepath, epoch_ms(ts) AS updated_at FROM events WHERE event_type <> 'error' AND value >= 5 AND epoch_ms(ts) <= 1704500000000 ORDER BY 2, 1 LIMIT 25")
+@q("str04_claim", "SELECT event_id AS filepath, epoch_us(ts) // 1000 AS updated_at FROM events WHERE event_type <> 'error' AND value >= 5 AND epoch_us(ts) // 1000 <= 1704500000000 ORDER BY 2, 1 LIMIT 25")
 def _(t: Tables):
     queue = t.events.select(F.col("event_id").alias("filepath"), F.unix_millis(F.col("ts").cast("timestamp")).alias("updated_at"), F.when(F.col("value") < 5, F.lit(1)).alias("inflight_started_at"), (F.col("event_type") == "error").alias("poisoned"))
     return sync.claimable(queue.where("NOT isnan(updated_at)"), 1_704_500_000_000, 25).select("filepath", "updated_at")
@@ -274,14 +275,14 @@ def _(t: Tables):
     return t.part.select("p_partkey", sync.backoff_ms(F.col("p_size") % 9).alias("delay"))
 
 
-@q("str07_debounce", "WITH w AS (SELECT user_id AS filepath, epoch_ms(ts) AS at_ms, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts)) AS n FROM events) SELECT filepath, at_ms FROM w WHERE n IS NULL OR n - at_ms > 3600000")
+@q("str07_debounce", "WITH w AS (SELECT user_id AS filepath, epoch_us(ts) // 1000 AS at_ms, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000) AS n FROM events) SELECT filepath, at_ms FROM w WHERE n IS NULL OR n - at_ms > 3600000")
 def _(t: Tables):
     return sync.debounced(t.events.select(F.col("user_id").alias("filepath"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms")), 3_600_000)
 
 
-@q("str08_deletion_scan", "SELECT c_custkey AS remote_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@q("str08_deletion_scan", "SELECT c_custkey AS remote_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 def _(t: Tables):
-    return sync.deleted(t.customer.select(F.col("c_custkey").alias("remote_id")), t.orders.select(F.col("o_custkey").alias("id")))
+    return sync.deleted(t.customer.select(F.col("c_custkey").alias("remote_id")), t.orders.where("o_totalprice > 250000").select(F.col("o_custkey").alias("id")))
 
 
 @q("str09_poll_tiers", "SELECT CASE WHEN o_totalprice / 50 < 60 THEN 'fast' WHEN o_totalprice / 50 < 300 THEN 'medium' WHEN o_totalprice / 50 < 3600 THEN 'slow' ELSE 'stop' END AS tier, count(*) AS n FROM orders GROUP BY 1")
