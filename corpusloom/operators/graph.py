@@ -68,17 +68,17 @@ def community_scores(communities: DataFrame, weights: DataFrame) -> DataFrame:
 
 def priors(edges: DataFrame, communities: DataFrame, matched: DataFrame, candidates: DataFrame) -> DataFrame:
     """GRF-06: a file's prior: its share of direct hits, of neighbour hits (half without direct ones) and its best
-    community (half if it isn't connected). Largest counts are those of the candidates."""
+    community (half without direct hits too). Largest counts are those of the candidates."""
     files = candidates.select("filepath").distinct()
     direct_all = direct_counts(edges, matched)
     direct = direct_all.join(files, "filepath", "left_semi")
     near = neighbour_counts(edges, related_entities(edges, direct, matched)).join(files, "filepath", "left_semi")
-    own = community_scores(communities, community_weights(communities, direct))
+    own = community_scores(communities, community_weights(communities, direct_all))
     most = direct.agg(F.max("direct").alias("max_direct")).crossJoin(near.agg(F.max("neighbours").alias("max_near")))  # one row
     rows = files.join(direct, "filepath", "left").join(near, "filepath", "left").join(own, "filepath", "left").crossJoin(F.broadcast(most))
-    has, linked = F.coalesce(F.col("direct"), F.lit(0)) > 0, (F.coalesce(F.col("direct"), F.lit(0)) > 0) | (F.coalesce(F.col("neighbours"), F.lit(0)) > 0)
+    has = F.coalesce(F.col("direct"), F.lit(0)) > 0
     score = C.direct_weight * _share(F.col("direct"), "max_direct") + C.neighbour_weight * _share(F.col("neighbours"), "max_near") * F.when(has, 1.0).otherwise(0.5)
-    score = score + F.coalesce(F.col("community"), F.lit(0.0)) * F.when(linked, 1.0).otherwise(0.5)
+    score = score + F.coalesce(F.col("community"), F.lit(0.0)) * F.when(has, 1.0).otherwise(0.5)
     return rows.select("filepath", F.least(score, F.lit(C.prior_cap)).alias("prior")).where("prior > 0")
 
 

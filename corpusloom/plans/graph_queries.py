@@ -57,7 +57,7 @@ def _(t: Tables):
 
 @q("grf06_priors", f"""WITH {MATCHED}, c AS (SELECT file_path AS filepath, greatest(max(s), 0) AS community FROM communities JOIN scored USING (community_id) GROUP BY file_path),
 f AS (SELECT concat('/orders/', o_orderkey, '.md') AS filepath FROM orders), x AS (SELECT f.filepath, coalesce(direct, 0) AS d, coalesce(neighbours, 0) AS n, coalesce(community, 0) AS c FROM f LEFT JOIN direct USING (filepath) LEFT JOIN near USING (filepath) LEFT JOIN c USING (filepath)),
-p AS (SELECT filepath, least(0.15, 0.08 * d / greatest(max(d) OVER (), 1) + 0.04 * n / greatest(max(n) OVER (), 1) * CASE WHEN d > 0 THEN 1 ELSE 0.5 END + c * CASE WHEN d > 0 OR n > 0 THEN 1 ELSE 0.5 END) AS prior FROM x)
+p AS (SELECT filepath, least(0.15, 0.08 * d / greatest(max(d) OVER (), 1) + 0.04 * n / greatest(max(n) OVER (), 1) * CASE WHEN d > 0 THEN 1 ELSE 0.5 END + c * CASE WHEN d > 0 THEN 1 ELSE 0.5 END) AS prior FROM x)
 SELECT filepath, round(prior, 9) AS prior FROM p WHERE prior > 0""")
 def _(t: Tables):
     files = t.orders.select(F.concat(F.lit("/orders/"), "o_orderkey", F.lit(".md")).alias("filepath"))
