@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, embeddings, language, packing, repetition, simhash, substrings, toxicity, url_lists
-from .common import fold
+from .common import fold, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,7 +117,7 @@ def op9_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     sql = LIST_EVENTS.format(number="CAST(conv(substr(md5(pattern), 1, 6), 16, 10) AS BIGINT)")
     sql += "SELECT list, kind, pattern, verdict, action, timestamp_seconds(1672531200 + 86400 * day) AS at FROM events"
-    events = spark.sql(sql.replace("FROM pages", "FROM {pages}"), pages=pages)
+    events = saved(spark.sql(sql.replace("FROM pages", "FROM {pages}"), pages=pages), "list-events")
     captures = pages.withColumn("fetched_at", F.timestamp_seconds(1672531200 + 3600 * ((F.col("page_id") * 7919) % (24 * 700))))
     return url_lists.judge(captures, events).select("page_id", "blocked", "n_active", "pattern", "lists")
 
