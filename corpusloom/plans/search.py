@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import DEFAULT
 from corpusloom.functions import paths
 from corpusloom.operators import graph, lanes, rank
+from corpusloom.plans.lineage import cut
 
 
 @dataclass
@@ -25,6 +26,11 @@ class Index:
     access_log: DataFrame | None = None
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Matched entities, at most 32 rows, as a local table."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def search(index: Index, query: str, vector: list[float] | None = None, code_vector: list[float] | None = None, prefix: str | None = None, limit: int = DEFAULT.limit, now_ms: int | None = None, reranker=None, profile: str = "local") -> DataFrame:
     """(rank, filepath, score, text). profile `server` has only the text and keyword lanes (all terms must match), and no
     rerank, pins or reserved place (RNK-16)."""
@@ -36,22 +42,22 @@ def search(index: Index, query: str, vector: list[float] | None = None, code_vec
         if table is not None and v is not None:
             near = lanes.nearest(table.join(chunks.select("chunk_id", "filepath"), "chunk_id") if prefix else table, v)
             found.append(near.select("chunk_id", "rank").join(chunks.select("chunk_id", "filepath", "text"), "chunk_id").withColumn("lane", F.lit(name)).select(columns))
-    pins = None
-    graph_prior = None
+    pins = matched = None
     if not server:
-        found.append(lanes.path_lane(chunks, query).withColumn("lane", F.lit("path")).select(columns))
+        own = cut(lanes.path_lane(chunks, query))
+        found.append(own.withColumn("lane", F.lit("path")).select(columns))
         found.append(lanes.integrity_lane(chunks, query).select(columns))
-        pins = lanes.path_pins(lanes.path_lane(chunks, query))
+        pins = lanes.path_pins(own)
         if index.edges is not None:
-            matched = graph.matched_entities(index.entities, query)
+            matched = _small(graph.matched_entities(index.entities, query))
             found.append(lanes.candidate_lane(graph.candidates(index.edges, index.communities, matched, prefix), chunks).select(columns))
     rows = found[0]
     for f in found[1:]:
         rows = rows.unionByName(f)
+    rows = cut(rows)  # a few hundred rows, that several steps read
     hits = rank.fused(rows)
     if index.edges is not None and not server:
-        graph_prior = graph.priors(index.edges, index.communities, graph.matched_entities(index.entities, query), hits)
-        hits = rank.with_priors(hits, graph_prior)
+        hits = cut(rank.with_priors(hits, graph.priors(index.edges, index.communities, matched, hits)))
     hits = hits.join(rank.best_texts(rows), "filepath")
     if reranker is not None and not server:
         hits = rank.reranked(hits, reranker)
