@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import DEFAULT
 from corpusloom.functions import paths, vectors
 from corpusloom.functions.text import query_tokens, tokens
+from corpusloom.plans.lineage import cut
 
 
 def ranked(df: DataFrame, *order: Column, top: int, lane: str | None = None) -> DataFrame:
@@ -33,13 +34,15 @@ def _times(words: str, term: str) -> Column:
 def bm25(chunks: DataFrame, query: str, top: int | None = DEFAULT.lane_top, match: str = "any", text: str = "text", key: str = "chunk_id", k1: float = DEFAULT.bm25_k1, b: float = DEFAULT.bm25_b) -> DataFrame:
     """RET-04, RET-05: Okapi BM25 over distinct query tokens, of chunks that have any (or all) of them.
 
-    Only query tokens are counted, in the scan, so nothing is shuffled: one pass sums the statistics to one row, the
-    other scores. idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
+    Only query tokens are counted, in one scan of the texts that shuffles nothing; the counts, a few numbers a chunk, are
+    kept, sum up to one row of statistics and are scored. Texts are joined to the chunks that made the top.
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
     terms = [*dict.fromkeys(query_tokens(query))]
     if not terms:
         return ranked(chunks.where("false").withColumn("score", F.lit(0.0)), F.desc("score"), F.col(key), top=top or 1)
+    rest = [c for c in chunks.columns if c != text]
     own = chunks.withColumn("_t", tokens(F.coalesce(F.col(text), F.lit(""))))
-    own = own.select(*chunks.columns, F.size("_t").alias("_n"), *(_times("_t", t).alias(f"_tf{i}") for i, t in enumerate(terms)))
+    own = cut(own.select(*rest, F.size("_t").alias("_n"), *(_times("_t", t).alias(f"_tf{i}") for i, t in enumerate(terms))))
     stats = own.agg(F.count("*").alias("n"), F.avg("_n").alias("avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"d{i}") for i in range(len(terms)))).first()
     n, average = stats["n"], stats["avg"] or 1.0
     score, has = F.lit(0.0), None
@@ -49,10 +52,10 @@ def bm25(chunks: DataFrame, query: str, top: int | None = DEFAULT.lane_top, matc
         score = score + F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_n") / average))
         hit = tf > 0
         has = hit if has is None else (has | hit if match == "any" else has & hit)
-    scored = own.where(has).select(*chunks.columns, score.alias("score"))
+    scored = own.where(has).select(*rest, score.alias("score"))
     # scores are compared as rounded, so equal chunks tie whatever the order of sums
-    order = (F.desc(F.round("score", 9)), F.col(key))
-    return ranked(scored, *order, top=top) if top else scored
+    best = ranked(scored, F.desc(F.round("score", 9)), F.col(key), top=top) if top else scored
+    return best.join(chunks.select(key, text), key).select(*chunks.columns, *[c for c in best.columns if c not in chunks.columns])
 
 
 def path_hits(path: Column, query: str) -> Column:
