@@ -223,7 +223,7 @@ def _(t: Tables):
     return t.documents.join(t.labels, "doc_id").groupBy("lang", "quality").agg(F.count("*").alias("n"))
 
 
-@q("agg16_quality", "SELECT l_returnflag AS model, round(avg(1 - l_tax) * (1 - avg(l_discount)), 6) FROM lineitem GROUP BY 1")
+@q("agg16_quality", "SELECT l_returnflag AS model, round(avg(1 - l_tax) * (1 - avg(l_discount)), 6) AS score FROM lineitem GROUP BY 1")
 def _(t: Tables):
     return curation.quality_score(t.lineitem.withColumn("cos", 1 - F.col("l_tax")).withColumnRenamed("l_returnflag", "model"), "model", "cos", "l_discount").select("model", six("score"))
 
