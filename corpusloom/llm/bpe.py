@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import blocks, buffers, run_lengths
+from .common import blocks, buffers, run_lengths, tidy
 
 #: The pattern of byte-level pretokens.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -280,7 +280,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", block
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*arrays, lists], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text", block_ids: int = 1 << 20) -> DataFrame:
@@ -299,4 +299,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text", block_
                 texts = held.decode(flat.slice(bounds[i], bounds[j] - bounds[i]).to_numpy(False).astype(np.int64), bounds[i : j + 1] - bounds[i])
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

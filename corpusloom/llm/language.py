@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, buffers, hashed_share
+from .common import blocks, buffers, hashed_share, tidy
 
 #: Languages by family; a language that isn't listed is in the family `other`.
 FAMILIES = {
@@ -169,7 +169,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
                 x = shares(batch.column(text).slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([batch.column(lang).slice(i, j - i).cast(pa.string()), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    rows = known.where(share & F.col(text).rlike(r"\p{L}")).select(text, lang).mapInArrow(run, schema).collect()
+    rows = known.where(share & F.col(text).rlike(r"\p{L}")).select(text, lang).mapInArrow(tidy(run), schema).collect()
     if not rows:
         return None
     rows.sort()
@@ -193,4 +193,4 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", block_bytes
                 lang[none], score[none] = "und", 0
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import merges
-from .common import blocks, buffers, run_lengths, span_hashes, word_spans
+from .common import blocks, buffers, run_lengths, span_hashes, tidy, word_spans
 
 #: The pattern of the word vocabulary's pretokens.
 WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -40,9 +40,9 @@ class WordLevel:
         self.path, self.merges = path, merges(path)
         self.find = regex.compile(WORD_PARTS + "|\n").findall
         self.special = regex.compile("|".join(map(regex.escape, self.merges.special)) or "(?!)")
-        self.nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64))
-        #: Words whose ids are kept: sorted hashes, ids side by side, bounds. Begun anew beyond most_known words.
-        self.memo, self.most_known = self.nothing, 1_000_000
+        self.nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint16 if self.merges.size <= 1 << 16 else np.int32))
+        #: Words whose ids are kept: sorted hashes, where their ids begin, how many, all ids. Begun anew beyond most_known.
+        self.memo, self.most_known = self.nothing, 500_000
 
     def parts(self, words: str) -> list[str]:
         """Pretokens of words that lie on a line each, with the ends of lines."""
@@ -53,19 +53,21 @@ class WordLevel:
         data, bounds = buffers(texts)
         starts, stops, first = word_spans(data, bounds)
         keys, at, code = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
-        known, runs, ends = self.memo
+        known, begin, size, runs = self.memo
         place = np.searchsorted(known, keys)
         new = known[np.minimum(place, len(known) - 1)] != keys if len(known) else np.ones(len(keys), bool)
         if new.any():
-            more, more_ends = self.merged(data, starts[at[new]], stops[at[new]])
+            more, ends = self.merged(data, starts[at[new]], stops[at[new]])
             both = np.concatenate([known, keys[new]])
             order = np.argsort(both, kind="stable")
-            take, by = run_lengths(np.concatenate([ends, ends[-1] + more_ends[1:]]), order)
-            known, runs, ends = both[order], np.concatenate([runs, more])[take], by
+            known, begin, size = both[order], np.concatenate([begin, ends[:-1] + len(runs)])[order], np.concatenate([size, np.diff(ends).astype(np.int32)])[order]
+            runs = np.concatenate([runs, more.astype(runs.dtype)])
             place = np.searchsorted(known, keys)
-            self.memo = (known, runs, ends) if len(known) <= self.most_known else self.nothing
-        take, by_word = run_lengths(ends, place[code])
-        return runs[take], by_word[first]
+            self.memo = (known, begin, size, runs) if len(known) <= self.most_known else self.nothing
+        word = place[code]
+        to = np.zeros(len(word) + 1, np.int64)
+        np.cumsum(size[word], out=to[1:])
+        return runs[np.arange(to[-1]) + np.repeat(begin[word] - to[:-1], size[word])], to[first]
 
     def merged(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of data side by side, and their bounds."""
@@ -179,7 +181,7 @@ def powers_of_two(row: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, i
             yield out
 
 
-def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 1, block_tokens: int = 4 << 20, block_bytes: int = 3 << 20) -> DataFrame:
+def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 1, block_tokens: int = 4 << 20, block_bytes: int = 2 << 20) -> DataFrame:
     """Pieces of all documents: the id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens,
     sequence_id and offset."""
     kind = df.schema[doc_id].dataType
@@ -233,4 +235,4 @@ def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", c
                     total = 0
         yield from packed()
 
-    return df.select(doc_id, text).mapInArrow(run, schema)
+    return df.select(doc_id, text).mapInArrow(tidy(run), schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, blocks, buffers, mix, span_hashes, word_spans
+from .common import IS_SPACE, blocks, buffers, mix, span_hashes, tidy, word_spans
 
 #: What measure() adds.
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
@@ -148,7 +148,7 @@ def measure(df: DataFrame, text: str = "text", min_repeat: int = 5, block_bytes:
                 found = measured(part.column(text), min_repeat)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.int64()) for x in found)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def verdicts(df: DataFrame, text: str = "text", min_words: int = 50, max_repeat_share: float = 0.5, min_repeat: int = 5, max_covered: float = 0.35, max_longest: int = 200) -> DataFrame:

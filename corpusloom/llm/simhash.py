@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, buffers, components, run_lengths, saved, word_spans
+from .common import blocks, buffers, components, run_lengths, saved, tidy, word_spans
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -85,7 +85,7 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", blo
             found = np.concatenate([fingerprints(texts.slice(i, j - i)) for i, j in blocks(buffers(texts)[1], block_bytes)])
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-1]), pa.array(found.view(np.int64))], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def unary_counts(bits):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHashes, blocks, buffers, hashed_share, mix, saved, word_spans
+from .common import SpanHashes, blocks, buffers, hashed_share, mix, saved, tidy, word_spans
 
 #: Fixed lexicon: plain insults in the corpus's languages.
 LEXICON = """
@@ -257,4 +257,4 @@ def score(df: DataFrame, model: Model, text: str = "text", block_bytes: int = 2
                 p = model.score(part.column(text))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
