@@ -1,7 +1,7 @@
 """Fuzzy passages that documents share, by collinear chaining of k-mer seeds.
 
-1. Seeds: of each `window` neighbouring runs of `seed_words` words the one with the least hash (winnowing), so an exact
-   run of window + seed_words - 1 words always shares a seed. Words are `[^\\x20\\x09-\\x0D]+`, lower-cased in A-Z.
+1. Seeds: every run of `seed_words` words. With `window` above 1 only the run with the least hash of each `window`
+   neighbouring ones (winnowing), which loses passages: an edit changes the minima of the windows around it. Words are `[^\\x20\\x09-\\x0D]+`, lower-cased in A-Z.
 2. Join: a seed links each document that holds it with the first one (least id), a star; rows grow with the seeds, not
    with the square of a group. Minima are pre-aggregated and the join back is an equi-join, which adaptive execution
    splits where a seed is very common.
@@ -94,6 +94,20 @@ def seeds(df: DataFrame, doc_id: str, text: str, k: int, window: int, block_byte
     return df.select(doc_id, text).where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).mapInArrow(run, schema)
 
 
+def thinned(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Indices, by x and y, of the matches of k words that are left when those inside a run along one diagonal go: its
+    ends stay and each k-th between, which hold the same words."""
+    order = np.lexsort((x, y - x))
+    p, d = x[order], (y - x)[order]
+    once = np.append(True, (p[1:] != p[:-1]) | (d[1:] != d[:-1]))
+    order, p, d = order[once], p[once], d[once]
+    new = np.ones(len(p), bool)
+    new[1:] = (d[1:] != d[:-1]) | (p[1:] - p[:-1] > 1)
+    since = p - p[np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))]
+    keep = order[(since % k == 0) | np.append(new[1:], True)]
+    return keep[np.lexsort((y[keep], x[keep]))]
+
+
 def chain(x: list[int], y: list[int], k: int, gap_cost: float = 0.15) -> list[list[int]]:
     """Chains of matches (x ascending) of k words, each a list of indices, disjoint, best first."""
     n = len(x)
@@ -151,24 +165,25 @@ def subsequence(a: list[int], b: list[int]) -> int:
     return row[-1]
 
 
-def extend(a: np.ndarray, b: np.ndarray, most_edits: int = 3, sure: int = 3) -> tuple[int, int, int]:
+def extend(a: np.ndarray, b: np.ndarray, most_edits: int = 3, sure: int = 3, calm: bool = True) -> tuple[int, int, int]:
     """How far a and b run alike from their starts: words of a, words of b, words alike. Up to so many words may differ
-    at a place if the `sure` next ones agree and the whole stays alike enough."""
+    at a place if the `sure` next ones agree and, when `calm`, the whole stays alike enough."""
     i = j = same = 0
     while True:
         n = common_prefix(a[i:], b[j:])
         i, j, same = i + n, j + n, same + n
         for di, dj in sorted(((p, q) for p in range(most_edits + 1) for q in range(most_edits + 1) if p or q), key=lambda s: (max(s), s)):
             x, y = a[i + di : i + di + sure], b[j + dj : j + dj + sure]
-            if len(x) == len(y) == sure and (x == y).all() and 10 * max(di, dj) <= i + 10:
+            if len(x) == len(y) == sure and (x == y).all() and (not calm or 10 * max(di, dj) <= i + 10):
                 i, j = i + di, j + dj
                 break
         else:
             return i, j, same
 
 
-def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, max_gap: int) -> list[tuple[int, int, int, int, int]]:
-    """Parts (start, end, start in b, end in b, words alike) of the words a and b along matches of k words at x, y."""
+def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, max_gap: int, min_words: int = 50) -> list[tuple[int, int, int, int, int]]:
+    """Parts (start, end, start in b, end in b, words alike) of the words a and b along matches of k words at x, y.
+    A part a little under min_words, which an edit near an end cuts short, takes single words behind its ends too."""
     parts, same = [], k
     i, j = int(x[0]) + k, int(y[0]) + k
     starts = [(int(x[0]), int(y[0]))]
@@ -198,11 +213,14 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, ma
         high_a, high_b = (parts[n + 1][0], parts[n + 1][1]) if n + 1 < len(parts) else (len(a), len(b))
         u, v, more = extend(a[e:high_a], b[f:high_b])
         p, q, less = extend(a[low_a:s][::-1], b[low_b:t][::-1])
+        if 0.8 * min_words <= e + u - s + p < min_words:
+            u, v, more = extend(a[e:high_a], b[f:high_b], sure=1, calm=False)
+            p, q, less = extend(a[low_a:s][::-1], b[low_b:t][::-1], sure=1, calm=False)
         out.append((s - p, e + u, t - q, f + v, same + more + less))
     return out
 
 
-def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50, similarity: float = 0.8, seed_words: int = 5, window: int = 16, max_gap: int = 16, least_part: int = 20, margin: int = 32) -> DataFrame:
+def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50, similarity: float = 0.8, seed_words: int = 5, window: int = 1, max_gap: int = 16, least_part: int = 20, margin: int = 32) -> DataFrame:
     """Passages that an earlier document holds too: doc_id, start and end (words, end excluded), first_ids (earlier
     documents they were aligned with) and similarity (share of aligned words)."""
     k, kind = seed_words, df.schema[doc_id].dataType
@@ -223,6 +241,8 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
             at, ends = [], []
             for i, j in zip(bounds[:-1][wide].tolist(), bounds[1:][wide].tolist(), strict=True):
                 x, y = xs[i:j], ys[i:j]
+                left = thinned(x, y, k)
+                x, y = x[left], y[left]
                 for path in chain(x.tolist(), y.tolist(), k):
                     p, q = x[path], y[path]
                     if p[-1] - p[0] + k >= least_span:
@@ -279,7 +299,7 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
                     sides.append((base * TILE, np.frombuffer(b"".join(own[t] for t in sorted(own)), "<u4")))
                 (a0, a), (b0, b) = sides
                 x, y = (np.frombuffer(c[i].as_py(), "<i4") for c in (xs, ys))
-                for s, e, t, f, same in align(a, b, x - a0, y - b0, k, max_gap):
+                for s, e, t, f, same in align(a, b, x - a0, y - b0, k, max_gap, min_words):
                     if e - s >= least_part and same >= similarity * max(e - s, f - t):
                         at.append(i)
                         out.append((s + a0, e + a0, same, max(e - s, f - t)))

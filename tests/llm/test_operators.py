@@ -2,6 +2,7 @@
 empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -355,6 +356,60 @@ def test_passages_are_cut(spark):
     assert substrings.without(df, substrings.passages(empty(df))).count() == df.count()
 
 
+@pytest.mark.parametrize("size", [50, 60, 100])
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9, 0.95])
+def test_edited_passages_have_chains(size, similarity):
+    """Candidates: the share of edited passages whose common seeds, by brute force over all runs, make a chain of 10 words."""
+    rng = np.random.default_rng(6)
+    default = inspect.signature(substrings.passages).parameters["window"].default
+    missed = 0
+    for _ in range(100):
+        a, b = rng.integers(1, 2**62, (2, size + 80)).astype(np.uint64)
+        b[40 : 40 + size] = a[40 : 40 + size]
+        at = 40 + rng.choice(size, round(size * (1 - similarity)), replace=False)
+        b[at] = rng.integers(1, 2**62, len(at)).astype(np.uint64)
+        runs = lambda w: {tuple(w[i : i + 5].tolist()): i for i in range(len(w) - 4)}
+        x, y = runs(a), runs(b)
+        want = sorted(y[r] for r in x.keys() & y.keys())
+        _, _, h = substrings.seeds_of(a, np.array([0, len(a)]), 5, default)
+        _, p, g = substrings.seeds_of(b, np.array([0, len(b)]), 5, default)
+        got = sorted(p[np.isin(g, h)].tolist())
+        missed += bool(want) and want[-1] - want[0] >= 5 and (not got or got[-1] - got[0] < 5)
+    assert missed == 0
+
+
+def test_edited_passages_are_found(spark):
+    """Passages of 50 to 100 words with single words edited, inside other words: the share found."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    texts, cases = [], []
+    for size in (50, 60, 100):
+        for similarity in (0.8, 0.85, 0.9, 0.95):
+            for _ in range(25):
+                a = [word() for _ in range(size)]
+                b = list(a)
+                for at in rng.sample(range(1, size - 1), round(size * (1 - similarity))):
+                    b[at] = word()
+                pad = lambda: [word() for _ in range(60)]
+                texts += [" ".join(pad() + a + pad()), " ".join(pad() + b + pad())]
+                cases.append((size, similarity, len(texts) - 1))
+    rows = substrings.passages(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    found = {r.doc_id for r in rows if r.end > 60 and r.start < 60 + 100}
+    share = {(n, s): sum(i in found for m, t, i in cases if (m, t) == (n, s)) / 25 for n, s, _ in cases}
+    assert {r.doc_id for r in rows} <= {i for _, _, i in cases}
+    assert all(v == 1 if s >= 0.9 else v >= 0.9 if n >= 60 else v >= 0.6 for (n, s), v in share.items()), share
+
+
+def test_thinned_matches_hold_the_same_words():
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        x, y = rng.integers(0, 40, (2, 60))
+        x, y = np.concatenate([x, np.arange(50, 80)]), np.concatenate([y, np.arange(10, 40)])
+        left = substrings.thinned(x, y, 5)
+        held = lambda at: {(x[i] + t, y[i] + t) for i in at for t in range(5)}
+        assert held(left) == held(range(len(x))) and len(left) < len(x) - 20
+
+
 def test_chain_is_the_best_chain():
     rng = random.Random(4)
     for _ in range(100):
