@@ -11,7 +11,10 @@
 4. Alignment: words of both spans are compared between anchors and beyond the chain's ends, by common prefixes and
    suffixes and a longest common subsequence of what is left. A chain is parted at gaps of over `max_gap` words. A
    part is kept from `least_part` words and a share of `similarity` aligned words on.
-5. Parts that touch in a document, found in several earlier documents, are one passage, kept from `min_words` on.
+5. Exact route: an earlier document may share a passage whose runs all occur first elsewhere, each too short there for a
+   part. So runs of `min_words` words, all of whose seeds are held by two documents or more, are joined in the same way
+   with the first document that holds the whole run, and go past chaining and alignment.
+6. Parts that touch in a document, found in several earlier documents, are one passage, kept from `min_words` on.
 
 The first document that holds a passage keeps it. A passage that occurs twice in one document only isn't reported.
 Edge cases: null or empty texts and rows with a null id have no passages; ids are taken as unique, and identical
@@ -220,6 +223,54 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, ma
     return out
 
 
+def exact_parts(linked: DataFrame, kind: T.DataType, k: int, words: int) -> DataFrame:
+    """Parts (id, other, start, end, same, size) with size 0: runs of so many words that the document `other`, the first
+    one to hold the run, holds word for word. Of linked come all places of seeds that two documents hold or more."""
+    if words < k:
+        raise ValueError("the runs are made of seeds")
+    steps = [*range(0, words - k, k), words - k]
+    runs = T.StructType([T.StructField("g", T.LongType()), T.StructField("id", kind), T.StructField("x", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in whole_groups(batches, ["id"]):
+            h, at, ids = rows.column("h").to_numpy().view(np.uint64), rows.column("at").to_numpy(), rows.column("id").combine_chunks()
+            group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            # of a place's rows the last has the words' own hash, the other one has a number mixed in
+            own = np.ones(len(at), bool)
+            own[:-1] = (at[:-1] // 2 != at[1:] // 2) | (group[:-1] != group[1:])
+            place = np.flatnonzero(own)
+            h, x, group = h[place], at[place] // 2, group[place]
+            n = len(x) - (words - k)
+            if n < 1:
+                continue
+            far = slice(words - k, None)
+            full = np.flatnonzero((group[:n] == group[far]) & (x[far] - x[:n] == words - k))
+            g = np.zeros(len(full), np.uint64)
+            for t in steps:
+                g = mix(g * np.uint64(0x9E3779B97F4A7C15) + h[full + t])
+            if len(full):
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), ids.take(pa.array(place[full])), pa.array(x[full].astype(np.int32))], names=runs.names)
+
+    places = linked.select("h", "id", "at").repartition("id").sortWithinPartitions("id", "at")
+    held = saved(places.mapInArrow(run, runs), "runs")
+    star = saved(held.groupBy("g").agg(F.min("id").alias("other"), F.max("id").alias("most")).where("other < most").select("g", "other"), "run-star")
+    both = held.join(star, "g").where("id > other")
+    return both.select("id", "other", F.col("x").alias("start"), (F.col("x") + words).cast("int").alias("end"), F.lit(0).alias("same"), F.lit(0).alias("size"))
+
+
+def likeness(start: np.ndarray, end: np.ndarray, same: np.ndarray, size: np.ndarray) -> float:
+    """The share of aligned words of a passage's parts; of exact runs (size 0) the words count that no other part has."""
+    aligned = size > 0
+    low = int(start.min())
+    ours = np.zeros(int(end.max()) - low, bool)
+    for s, e in zip(start[~aligned], end[~aligned], strict=True):
+        ours[s - low : e - low] = True
+    for s, e in zip(start[aligned], end[aligned], strict=True):
+        ours[s - low : e - low] = False
+    more = int(ours.sum())
+    return float((same.sum() + more) / (size.sum() + more))
+
+
 def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50, similarity: float = 0.8, seed_words: int = 5, window: int = 1, max_gap: int = 16, least_part: int = 20, margin: int = 32) -> DataFrame:
     """Passages that an earlier document holds too: doc_id, start and end (words, end excluded), first_ids (earlier
     documents they were aligned with) and similarity (share of aligned words)."""
@@ -228,7 +279,8 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     once = F.col("at") % 2 == 0
     star = found.groupBy("h").agg(F.min("id").alias("other"), F.max("id").alias("most"), F.min_by(F.when(once, F.col("at")), F.when(once, F.col("id"))).alias("there")).where("other < most").select("h", "other", "there")
     star = saved(star, "star")  # read again, both sides of the join come from an exchange, which can be split where it is hot
-    matches = found.join(star, "h").where("id > other").select("id", "other", F.expr("at div 2").cast("int").alias("x"), F.expr("there div 2").cast("int").alias("y"))
+    linked = saved(found.join(star, "h").select("h", "id", "at", "other", "there"), "linked")
+    matches = linked.where("id > other").select("id", "other", F.expr("at div 2").cast("int").alias("x"), F.expr("there div 2").cast("int").alias("y"))
     keys = ["id", "other"]
     spans = T.StructType([T.StructField("id", kind), T.StructField("other", kind), *(T.StructField(c, T.IntegerType()) for c in ("lo", "hi", "olo", "ohi")), T.StructField("x", T.BinaryType()), T.StructField("y", T.BinaryType())])
     least_span = least_part - 2 * k if least_part > 3 * k else k
@@ -307,7 +359,8 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays([rows.column("id").combine_chunks().take(take), rows.column("other").combine_chunks().take(take), *(pa.array([o[c] for o in out], pa.int32()) for c in range(4))], names=part.names)
 
-    parts = heads.union(lines.select(heads.columns)).repartition(*keys).sortWithinPartitions(*order, "side", "tile").mapInArrow(aligned, part)
+    exact = exact_parts(linked, kind, k, min_words)
+    parts = heads.union(lines.select(heads.columns)).repartition(*keys).sortWithinPartitions(*order, "side", "tile").mapInArrow(aligned, part).unionByName(exact)
     whole = T.StructType([T.StructField(doc_id, kind), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("first_ids", T.ArrayType(kind)), T.StructField("similarity", T.DoubleType())])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +377,7 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
                         last += 1
                     if to - start[r] >= min_words:
                         at.append(i)
-                        out.append((int(start[r]), to, sorted({*other[r:last]}), float(same[r:last].sum() / size[r:last].sum())))
+                        out.append((int(start[r]), to, sorted({*other[r:last]}), likeness(start[r:last], end[r:last], same[r:last], size[r:last])))
                     r = last
             if at:
                 yield pa.RecordBatch.from_arrays([rows.column("id").combine_chunks().take(pa.array(at)), *(pa.array([o[c] for o in out], pa.int32()) for c in (0, 1)), pa.array([o[2] for o in out], pa.list_(rows.schema.field("id").type)), pa.array([o[3] for o in out], pa.float64())], names=whole.names)

@@ -400,6 +400,20 @@ def test_edited_passages_are_found(spark):
     assert all(v == 1 if s >= 0.9 else v >= 0.9 if n >= 60 else v >= 0.6 for (n, s), v in share.items()), share
 
 
+def test_exact_passages_of_lines_from_elsewhere_are_found(spark):
+    """Each line of a passage that two documents share occurs first in another document."""
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(n)]
+    for size in (10, 12, 15, 18):
+        lines = [words(size) for _ in range(-(-54 // size))]
+        texts = [words(20) + line + words(20) for line in lines]
+        passage = sum(lines, [])
+        texts += [words(30) + passage + words(30), words(70), words(40) + passage + words(10)]
+        rows = substrings.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+        b, c = len(lines), len(lines) + 2
+        assert [(r.doc_id, r.start, r.end, r.first_ids, r.similarity) for r in rows] == [(c, 40, 40 + len(passage), [b], 1.0)]
+
+
 def test_thinned_matches_hold_the_same_words():
     rng = np.random.default_rng(2)
     for _ in range(100):
