@@ -8,8 +8,10 @@ Each pass gives a class representative a code of 64 concatenated random hashes (
 directions) and sorts label, pass and code lexicographically over the cluster; every vector is compared, in double
 precision, with the `window` next ones. Verified pairs are united within a task and, across passes, as components, so
 what leaves a task grows with its rows. Two vectors at the threshold agree on a hash with probability 0.88, so they
-share the first hashes that tell `window` neighbours apart from the rest in about a third of the passes; with 20 passes
-a link is missed only if every pass and every chain of links misses it.
+share the first hashes that tell `window` neighbours apart from the rest, log2(classes of the label / window) of them,
+in a share of the passes that falls with the label's size. The number of passes follows from the largest label, so that
+a pair at the threshold without other links is found with probability `recall`; 20 passes at least. The window goes on
+over the ends of the sorted partitions.
 
 An exact check follows: inside each component all pairs are compared, in blocks of `block` members, a task for each
 pair of blocks, which gives each class its number of links; no pair is emitted.
@@ -19,10 +21,12 @@ Edge cases: an empty table gives an empty result; repeated rows count as links o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +58,13 @@ def classes_of(df: DataFrame, vec_id: str, vector: str, label: str) -> tuple[Dat
     return rows.drop("v"), classes
 
 
+def passes_for(classes: int, threshold: float, window: int, recall: float, least: int = 20) -> int:
+    """Passes by which a pair at the threshold in a label of so many classes is found with probability recall."""
+    agree = 1 - math.acos(min(max(threshold, -1.0), 1.0)) / math.pi
+    one = agree ** max(0.0, math.log2(max(classes, 1) / window))
+    return least if one >= 1 else max(least, math.ceil(math.log(1 - recall) / math.log1p(-one)))
+
+
 def found_links(classes: DataFrame, threshold: float, passes: int, window: int, seed: int) -> DataFrame:
     """(a, b) of representatives, united within each task: as components, the verified pairs of all passes."""
     kind, element = classes.schema["first"].dataType, classes.schema["v"].dataType
@@ -97,8 +108,62 @@ def found_links(classes: DataFrame, threshold: float, passes: int, window: int,
                             yield pa.RecordBatch.from_arrays([first.take(pa.array(at[own])), first.take(pa.array(at[low[own]]))], names=["a", "b"])
 
     all_passes = saved(classes.select("label", "first", "v").mapInArrow(code, coded), "passes")
-    ordered = all_passes.repartitionByRange("label", "dim", "pass", "code", "first").sortWithinPartitions("label", "dim", "pass", "code", "first")
-    return ordered.mapInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    order = ["label", "dim", "pass", "code", "first"]
+    links = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    ends = T.StructType([*links, *coded, *(T.StructField(c, T.IntegerType()) for c in ("part", "head", "tail"))])
+
+    def with_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links, and the first and last rows of the partition with their places counted from its start and its end."""
+        head, tail, n = [], [], 0
+
+        def watched():
+            nonlocal n, tail
+            for batch in batches:
+                if batch.num_rows:
+                    if n < window:
+                        head.append(batch.slice(0, window - n))
+                    n += batch.num_rows
+                    tail = pa.Table.from_batches([*tail, batch.slice(max(0, batch.num_rows - window))])
+                    tail = tail.slice(max(0, tail.num_rows - window)).to_batches()
+                yield batch
+
+        def filled(columns: dict, size: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, types[c]) for c in ends.names], names=ends.names)
+
+        types = {}
+        for found in compare(watched()):
+            types = types or {c: found.schema.field(c).type if c in links.names else t for c, t in [*((c, None) for c in links.names), *zip(coded.names, head[0].schema.types, strict=True), *((c, pa.int32()) for c in ("part", "head", "tail"))]}
+            yield filled({c: found.column(c) for c in links.names}, found.num_rows)
+        if not n:
+            return
+        types = types or {**{c: head[0].schema.field("first").type for c in links.names}, **dict(zip(coded.names, head[0].schema.types, strict=True)), **{c: pa.int32() for c in ("part", "head", "tail")}}
+        part = TaskContext.get().partitionId()
+        for held, side in ((head, "head"), (tail, "tail")):
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            at = np.arange(rows.num_rows, dtype=np.int32)
+            place = at if side == "head" else at[::-1].copy()
+            yield filled({**{c: rows.column(c) for c in coded.names}, "part": pa.array(np.full(rows.num_rows, part, np.int32)), side: pa.array(place)}, rows.num_rows)
+
+    ordered = all_passes.repartitionByRange(*order).sortWithinPartitions(*order)
+    told = saved(ordered.mapInArrow(with_ends, ends), "ends")
+    # a partition's end meets the starts of those after it that lie in its window: the next one, and more behind short ones
+    sizes = [(r.part, r.n) for r in told.where("head IS NOT NULL").groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()]  # one row a partition
+    meets = []
+    for i, (part, _) in enumerate(sizes):
+        ahead = 0
+        for after, n in sizes[i + 1 :]:
+            if ahead >= window:
+                break
+            meets.append((part, after))
+            ahead += n
+    inside = told.where("part IS NULL").select("a", "b")
+    if not meets:
+        return inside
+    pairs = told.sparkSession.createDataFrame(meets, "bound int, part int")
+    starts = told.where("head IS NOT NULL").join(F.broadcast(pairs), "part").select("bound", *order, "v")
+    stops = told.where("tail IS NOT NULL").select(F.col("part").alias("bound"), *order, "v")
+    over = stops.unionByName(starts).repartition("bound").sortWithinPartitions("bound", *order)
+    return inside.unionByName(over.select(*coded.names).mapInArrow(compare, links))
 
 
 def exact_counts(members: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -133,10 +198,13 @@ def exact_counts(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(count, out).groupBy("first").agg(F.sum("linked").alias("linked"))
 
 
-def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, passes: int = 20, window: int = 32, block: int = 1024, seed: int = 11) -> DataFrame:
-    """vec_id, n_links, component_id and kept of each row."""
+def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, passes: int | None = None, window: int = 32, block: int = 1024, seed: int = 11, recall: float = 0.999) -> DataFrame:
+    """vec_id, n_links, component_id and kept of each row. Without a number of passes it follows from recall."""
     rows, classes = classes_of(df, vec_id, vector, label)
     rows, classes = saved(rows, "vectors"), saved(classes, "classes")
+    if passes is None:
+        largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        passes = passes_for(largest, threshold, window, recall)
     found = saved(components(found_links(classes, threshold, passes, window, seed)), "components")
     members = classes.join(found, F.col("first") == F.col("node")).select("component", "first", "copies", "v")
     counts = exact_counts(members, threshold, block)

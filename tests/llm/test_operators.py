@@ -289,6 +289,29 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.near_duplicates(empty(df)).count() == 0
 
 
+def test_passes_grow_with_the_largest_label():
+    for n in (10**3, 10**5, 10**6, 10**7):
+        passes = embeddings.passes_for(n, 0.93, 32, 0.999)
+        share = (1 - np.arccos(0.93) / np.pi) ** np.log2(n / 32)
+        assert passes >= 20 and 1 - (1 - share) ** passes >= 0.999
+    assert embeddings.passes_for(0, 0.93, 32, 0.999) == embeddings.passes_for(1, 1.0, 32, 0.999) == 20
+
+
+def test_windows_go_on_over_partition_ends(spark):
+    """Vectors of a hair's breadth around one: all neighbours link, so one component however the order is cut."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in 1 + rng.standard_normal(16) * 0.01], 1) for i in range(120)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), passes=1, window=4).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.component_id for r in got} == {0} and {r.n_links for r in got} == {119}
+
+
 # 9: url lists
 
 
