@@ -93,6 +93,13 @@ def _(t: Tables):
     return graph.pagerank_prior(graph.pagerank(t.edges, _matched(t), rounds=2), files).select("filepath", nine("prior"), "connected")
 
 
+@q("grf11_ppr_prior_30")
+def _(t: Tables):
+    """The prior over the default 30 rounds; grf11_ppr_prior has two, as its SQL."""
+    files = t.orders.select(F.concat(F.lit("/orders/"), "o_orderkey", F.lit(".md")).alias("filepath"))
+    return graph.pagerank_prior(graph.pagerank(t.edges, _matched(t)), files).select("filepath", nine("prior"), "connected")
+
+
 @q("grf10_ppr")
 def _(t: Tables):
     return graph.pagerank(t.edges, _matched(t)).select("filepath", nine("mass"))
