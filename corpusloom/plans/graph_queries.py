@@ -258,12 +258,23 @@ def _(t: Tables):
     return graph.enclosing(d, d.select("file", F.col("name").alias("id"), (F.col("start") + 1).alias("start"), (F.col("start") + 3).alias("end")))
 
 
+def _resolved(t: Tables, refs):
+    symbols = t.part.select(F.concat(F.lit("/sym/"), "p_partkey").alias("path"), F.concat(F.lit("a.b."), "p_name").alias("name"), F.when(F.col("p_size") % 2 == 0, "function").otherwise("class").alias("kind"))
+    refs = refs.select(F.concat(F.lit("/sym/"), "p_partkey").alias("source"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 == 0, "calls").otherwise("inherits").alias("kind"))
+    return graph.resolved(refs, symbols).select("source", "target", "relation", "confidence")
+
+
+@q("grf34_resolve_all", """WITH s AS (SELECT concat('/sym/', p_partkey) AS target, p_name AS simple, CASE WHEN p_size % 2 = 0 THEN 'function' ELSE 'class' END AS kind FROM part), r AS (SELECT concat('/sym/', p_partkey) AS source, p_name AS simple, CASE WHEN p_size % 3 = 0 THEN 'calls' ELSE 'inherits' END AS relation FROM part)
+SELECT DISTINCT source, target, relation, CASE WHEN relation = 'inherits' THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence FROM r JOIN s USING (simple) WHERE source <> target AND kind = CASE WHEN relation = 'calls' THEN 'function' ELSE 'class' END""")
+def _(t: Tables):
+    """References of all brands; grf34_resolve has one, as its SQL."""
+    return _resolved(t, t.part)
+
+
 @q("grf34_resolve", """WITH s AS (SELECT concat('/sym/', p_partkey) AS target, p_name AS simple, CASE WHEN p_size % 2 = 0 THEN 'function' ELSE 'class' END AS kind FROM part), r AS (SELECT concat('/sym/', p_partkey) AS source, p_name AS simple, CASE WHEN p_size % 3 = 0 THEN 'calls' ELSE 'inherits' END AS relation FROM part WHERE p_brand = 'Brand#1')
 SELECT DISTINCT source, target, relation, CASE WHEN relation = 'inherits' THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence FROM r JOIN s USING (simple) WHERE source <> target AND kind = CASE WHEN relation = 'calls' THEN 'function' ELSE 'class' END""")
 def _(t: Tables):
-    symbols = t.part.select(F.concat(F.lit("/sym/"), "p_partkey").alias("path"), F.concat(F.lit("a.b."), "p_name").alias("name"), F.when(F.col("p_size") % 2 == 0, "function").otherwise("class").alias("kind"))
-    refs = t.part.where("p_brand = 'Brand#1'").select(F.concat(F.lit("/sym/"), "p_partkey").alias("source"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 == 0, "calls").otherwise("inherits").alias("kind"))
-    return graph.resolved(refs, symbols).select("source", "target", "relation", "confidence")
+    return _resolved(t, t.part.where("p_brand = 'Brand#1'"))
 
 
 @q("grf36_build_lane", "SELECT doc_id, CASE WHEN doc_id % 4 = 1 AND text IS NOT NULL THEN 'ast' ELSE 'llm' END AS lane FROM documents")

@@ -32,3 +32,17 @@ def test_prior_runs_thirty_rounds(spark, small):
     for r in rows:
         assert r.prior == pytest.approx(0.12 * files.get(r.filepath, 0) / most, abs=2e-9) and r.connected == (files.get(r.filepath, 0) > 0)
     assert sum(r.connected for r in rows) > sum(r.connected for r in registry.QUERIES["grf11_ppr_prior"](spark, small).collect())
+
+
+def test_references_of_all_brands_are_resolved(spark, small):
+    """Against pairs of rows of part."""
+    part = Tables(spark, small).part.collect()
+    by_name = defaultdict(list)
+    for r in part:
+        by_name[r.p_name].append(r)
+    want = set()
+    for r in part:
+        relation, kind = ("calls", 0) if r.p_size % 3 == 0 else ("inherits", 1)
+        want |= {(f"/sym/{r.p_partkey}", f"/sym/{s.p_partkey}", relation) for s in by_name[r.p_name] if s.p_partkey != r.p_partkey and s.p_size % 2 == kind}
+    got = [(r.source, r.target, r.relation) for r in registry.QUERIES["grf34_resolve_all"](spark, small).collect()]
+    assert sorted(got) == sorted(want)
