@@ -125,14 +125,21 @@ def blocks_of(files: DataFrame, size: int = 4096) -> DataFrame:
     return rows.where(~F.hex("data").rlike("^0*$"))
 
 
-def read_bytes(blocks: DataFrame, sizes: DataFrame, offset: int, length: int, size: int = 4096) -> DataFrame:
-    """DML-07: the bytes [offset, offset + length) of each file; missing blocks are zeros."""
-    first, last = offset // size, (offset + length - 1) // size
-    wanted = sizes.select("ino", "size", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("chunk_index"))
-    held = wanted.join(blocks.where(F.col("chunk_index").between(first, last)), ["ino", "chunk_index"], "left")
+def read_bytes(blocks: DataFrame, sizes: DataFrame, offset: int = 0, length: int | None = None, size: int = 4096) -> DataFrame:
+    """DML-07: the bytes [offset, offset + length) of each file, without a length all from the offset on; missing blocks
+    are zeros."""
+    first = offset // size
+    if length is None:
+        last, kept = F.greatest(F.floor((F.col("size") - 1) / size).cast("int"), F.lit(first)), blocks.where(F.col("chunk_index") >= first)
+    else:
+        end = (offset + length - 1) // size
+        last, kept = F.lit(end), blocks.where(F.col("chunk_index").between(first, end))
+    wanted = sizes.select("ino", "size", F.explode(F.sequence(F.lit(first), last)).alias("chunk_index"))
+    held = wanted.join(kept, ["ino", "chunk_index"], "left")
     text = F.rpad(F.coalesce(F.hex("data"), F.lit("")), 2 * size, "0")
     joined = held.groupBy("ino", "size").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", text.alias("h")))), lambda x: x["h"]), "").alias("h"))
-    n = F.greatest(F.least(F.col("size") - offset, F.lit(length)), F.lit(0)).cast("int")
+    rest = F.col("size") - offset
+    n = F.greatest(rest if length is None else F.least(rest, F.lit(length)), F.lit(0)).cast("int")
     return joined.select("ino", F.unhex(F.substring("h", F.lit(2 * (offset - first * size) + 1), n * 2)).alias("data"))
 
 

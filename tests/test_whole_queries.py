@@ -3,7 +3,9 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from corpusloom.operators import maintenance
 from corpusloom.plans import registry
 from corpusloom.plans.book import Tables
 from corpusloom.plans.graph_queries import _matched
@@ -46,3 +48,13 @@ def test_references_of_all_brands_are_resolved(spark, small):
         want |= {(f"/sym/{r.p_partkey}", f"/sym/{s.p_partkey}", relation) for s in by_name[r.p_name] if s.p_partkey != r.p_partkey and s.p_size % 2 == kind}
     got = [(r.source, r.target, r.relation) for r in registry.QUERIES["grf34_resolve_all"](spark, small).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_files_are_read_back_whole(spark):
+    sizes = [0, 1, 4095, 4096, 4097, 9001, 150_000]
+    files = [(i, bytearray((7 * j + i) % 251 for j in range(n))) for i, n in enumerate(sizes)] + [(90, bytearray(10_000) + b"x"), (91, bytearray(20_000))]
+    own = spark.createDataFrame(files, "ino long, data binary")
+    told = own.select("ino", F.octet_length("data").alias("size"))
+    blocks = maintenance.blocks_of(own)
+    assert {r.ino: bytes(r.data) for r in maintenance.read_bytes(blocks, told).collect()} == {i: bytes(d) for i, d in files}
+    assert {r.ino: bytes(r.data) for r in maintenance.read_bytes(blocks, told, 5000).collect()} == {i: bytes(d[5000:]) for i, d in files}
