@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import language, packing, repetition, simhash, substrings
-from corpusloom.llm.common import saved
+from corpusloom.llm.common import Bitmap, fresh, saved
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +27,16 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group, once if its row is repeated; rows with a null id stay."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """Keeps the document with the least id of each group, once if its row is repeated; rows with a null id stay.
+
+    Only documents whose id a bitmap has of those that go or come twice are moved; the others are passed by."""
+    found = saved(simhash.near_duplicates(docs.select("doc_id", "text")), "groups")
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and(F.col("doc_id") == F.col("component_id")).alias("first"))
+    told = saved(ids.where("n > 1 OR NOT first"), "told")
+    hit = fresh("hit", docs)
+    marked = Bitmap(told, "doc_id").marked(docs, "doc_id", hit)
+    some = marked.where(hit).join(told.where("NOT first").select("doc_id"), "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return marked.where(~F.col(hit)).select(docs.columns).unionByName(some)
 
 
 def passages_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

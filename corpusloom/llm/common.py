@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that part words: the space and \t to \r, as in `[^\x20\x09-\x0D]+`.
@@ -22,6 +23,10 @@ _P, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.
 _PINV = np.uint64(pow(int(_P), -1, 2**64))
 
 
+#: The first bytes of eight, by their number.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -70,8 +75,37 @@ def word_spans(data: np.ndarray, bounds: np.ndarray, parts: np.ndarray = IS_SPAC
     return starts, stops, np.searchsorted(starts, bounds)
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """For each of the spans of data, which ascend and don't overlap, the index of its bytes among the distinct ones, and
+    those. Bytes are compared, not hashes."""
+    ends = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(stops - starts, out=ends[1:])
+    inside, some = np.zeros(len(data) + 1, np.int8), stops > starts
+    inside[starts[some]] += 1
+    inside[stops[some]] -= 1
+    raw = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
+    return np.asarray(spans.indices), spans.dictionary
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int = 7) -> np.ndarray:
+    """A 64-bit hash of each span's bytes: up to eight bytes their number, mixed with their length by bijections, so that
+    no two of a length collide; of longer spans the XXH64."""
+    size = stops - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))[starts].view("<u8").ravel()
+    out = mix(mix(eight & _MASK[np.minimum(size, 8)]) + (size.astype(np.uint64) + np.uint64(seed)) * _P)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        codes, words = distinct_spans(data, starts[long], stops[long])
+        digest = xxhash.xxh64_intdigest
+        out[long] = np.fromiter((digest(w, seed) for w in words.to_pylist()), np.uint64, len(words))[codes]
+    return out
+
+
 class SpanHashes:
-    """64-bit hashes of any spans of data, by prefix sums."""
+    """64-bit hashes of any spans of data, by prefix sums. They are sums modulo 2^64, for which long spans of two letters
+    can be found that collide: good for features, never for taking texts for equal."""
 
     def __init__(self, data: np.ndarray):
         self.sums = np.zeros(len(data) + 1, np.uint64)
@@ -82,11 +116,6 @@ class SpanHashes:
         return mix((self.sums[stops] - self.sums[starts]) * self.back[starts] + (stops - starts).astype(np.uint64))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of data."""
-    return SpanHashes(data).of(starts, stops)
-
-
 def blocks(bounds: np.ndarray, most: int):
     """Ranges of texts that hold at most so many bytes together; one text at least."""
     i, n = 0, len(bounds) - 1
@@ -190,14 +219,60 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Spark's setting by which a query's shuffle files go when it ends, and not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written as a table in the shared folder and read again: its lineage is cut, and it outlives executors."""
+    """df written as a table in the shared folder and read again: its lineage is cut, and it outlives executors. The
+    shuffle files of the query that wrote it go."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/corpusloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, with underscores behind it until no column of frames has it."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bits of a row of a bitmap, as Spark's bitmap functions have them.
+PAGE = 4096 * 8
+
+
+class Bitmap:
+    """Which ids may be in a set: a bitmap of one hash each, of 16 MiB at most whatever the set's size, so it can be
+    broadcast. A hit may be wrong, a miss can't. It only spares rows a shuffle; hits are joined."""
+
+    def __init__(self, ids: DataFrame, column: str, most_bits: int = 1 << 27):
+        n = ids.count()
+        self.bits = min(most_bits, max(PAGE, 1 << (16 * max(n, 1) - 1).bit_length()))
+        at = self._at(F.col(column))
+        pages = ids.where(F.col(column).isNotNull()).select((at / PAGE).cast("long").alias("page"), (at % PAGE).alias("bit"))
+        self.pages = saved(pages.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")), "bitmap")
+
+    def _at(self, column: Column) -> Column:
+        return F.pmod(F.xxhash64(column, F.lit("bitmap")), F.lit(self.bits))
+
+    def marked(self, df: DataFrame, column: str, hit: str) -> DataFrame:
+        """df with the boolean column `hit`."""
+        page, bits = (fresh(c, df) for c in ("page", "bits"))
+        at = self._at(F.col(column))
+        joined = df.withColumn(page, (at / PAGE).cast("long")).join(F.broadcast(self.pages.toDF(page, bits)), page, "left")
+        byte = F.conv(F.hex(F.substring(F.col(bits), (at % PAGE / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        bit = F.pmod(byte / F.pow(F.lit(2), at % 8), F.lit(2)).cast("int") == 1
+        return joined.withColumn(hit, F.coalesce(F.col(column).isNotNull() & bit, F.lit(False))).drop(page, bits)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """Connected components of the links (a, b): one row (node, component) for each node of a link, where
     component is the smallest node that can be reached. Each round a node takes the smallest label around it,

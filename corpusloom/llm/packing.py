@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import merges
-from .common import blocks, buffers, run_lengths, span_hashes, tidy, word_spans
+from .common import blocks, buffers, distinct_spans, run_lengths, tidy, word_hashes, word_spans
 
 #: The pattern of the word vocabulary's pretokens.
 WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -40,8 +40,10 @@ class WordLevel:
         self.path, self.merges = path, merges(path)
         self.find = regex.compile(WORD_PARTS + "|\n").findall
         self.special = regex.compile("|".join(map(regex.escape, self.merges.special)) or "(?!)")
-        self.nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint16 if self.merges.size <= 1 << 16 else np.int32))
-        #: Words whose ids are kept: sorted hashes, where their ids begin, how many, all ids. Begun anew beyond most_known.
+        few = np.uint16 if self.merges.size <= 1 << 16 else np.int32
+        self.nothing = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, few), np.zeros(0, np.uint8))
+        #: Words whose ids are kept: sorted hashes, where their ids begin and how many, where their bytes begin and how
+        #: many, all ids, all bytes. Begun anew beyond most_known.
         self.memo, self.most_known = self.nothing, 500_000
 
     def parts(self, words: str) -> list[str]:
@@ -49,25 +51,46 @@ class WordLevel:
         return self.find(unicodedata.normalize("NFC", words).replace("Σ", "σ").lower())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts side by side, and the bounds of each text's. Words met before in this process are known."""
+        """Ids of all texts side by side, and the bounds of each text's. Words met before in this process are known, by
+        their hash and then by their bytes."""
         data, bounds = buffers(texts)
         starts, stops, first = word_spans(data, bounds)
-        keys, at, code = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
-        known, begin, size, runs = self.memo
+        code, words = distinct_spans(data, starts, stops)
+        raw, ends = buffers(words)
+        length = np.diff(ends)
+        keys = word_hashes(raw, ends[:-1], ends[1:])
+        known, begin, size, spelt, letters, runs, every = self.memo
         place = np.searchsorted(known, keys)
-        new = known[np.minimum(place, len(known) - 1)] != keys if len(known) else np.ones(len(keys), bool)
-        if new.any():
-            more, ends = self.merged(data, starts[at[new]], stops[at[new]])
-            both = np.concatenate([known, keys[new]])
-            order = np.argsort(both, kind="stable")
-            known, begin, size = both[order], np.concatenate([begin, ends[:-1] + len(runs)])[order], np.concatenate([size, np.diff(ends).astype(np.int32)])[order]
+        listed = np.append(known, np.uint64(0))[place] == keys
+        listed[place == len(known)] = False
+        same = np.flatnonzero(listed)
+        same = same[letters[place[same]] == length[same]]
+        if len(same):
+            ours, to = run_lengths(ends, same)
+            at = spelt[place[same]]
+            theirs = np.arange(to[-1]) + np.repeat(at - to[:-1], length[same])
+            same = same[~np.logical_or.reduceat(raw[ours] != every[theirs], to[:-1])]
+        is_new = np.ones(len(keys), bool)
+        is_new[same] = False
+        new = np.flatnonzero(is_new)
+        word_begin, word_size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        word_begin[same], word_size[same] = begin[place[same]], size[place[same]]
+        if len(new):
+            more, to = self.merged(raw, ends[:-1][new], ends[1:][new])
+            word_begin[new], word_size[new] = to[:-1] + len(runs), np.diff(to)
             runs = np.concatenate([runs, more.astype(runs.dtype)])
-            place = np.searchsorted(known, keys)
-            self.memo = (known, begin, size, runs) if len(known) <= self.most_known else self.nothing
-        word = place[code]
-        to = np.zeros(len(word) + 1, np.int64)
-        np.cumsum(size[word], out=to[1:])
-        return runs[np.arange(to[-1]) + np.repeat(begin[word] - to[:-1], size[word])], to[first]
+            kept = new[~listed[new]]
+            kept = kept[np.unique(keys[kept], return_index=True)[1]]
+            take, to = run_lengths(ends, kept)
+            both = np.concatenate([known, keys[kept]])
+            order = np.argsort(both, kind="stable")
+            joined = lambda a, b: np.concatenate([a, b])[order]
+            self.memo = (both[order], joined(begin, word_begin[kept]), joined(size, word_size[kept]), joined(spelt, to[:-1] + len(every)), joined(letters, length[kept]), runs, np.concatenate([every, raw[take]]))
+            if len(both) > self.most_known:
+                self.memo = self.nothing
+        to = np.zeros(len(code) + 1, np.int64)
+        np.cumsum(word_size[code], out=to[1:])
+        return runs[np.arange(to[-1]) + np.repeat(word_begin[code] - to[:-1], word_size[code])], to[first]
 
     def merged(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of data side by side, and their bounds."""
@@ -88,9 +111,7 @@ class WordLevel:
 
     def with_special(self, words: str, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The few words that hold a special token's string are encoded by the tokenizers library."""
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(self.path)
+        library = whole_tokenizer(self.path)
         runs = [ids[i:j] for i, j in zip(ends, ends[1:], strict=False)]
         for k, word in enumerate(words.split("\n")[:-1]):
             if self.special.search(word):
@@ -98,6 +119,13 @@ class WordLevel:
         return np.concatenate(runs), np.concatenate([[0], np.cumsum([len(x) for x in runs])])
 
 
+@lru_cache(4)
+def whole_tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(4)
 def word_level(path: str) -> WordLevel:
     return WordLevel(path)

@@ -22,30 +22,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, blocks, buffers, mix, span_hashes, tidy, word_spans
+from .common import IS_SPACE, blocks, buffers, distinct_spans, tidy, word_spans
 
 #: What measure() adds.
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
+#: Words of a block from which on fewer ranks are kept.
+LONG = 1 << 20
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
 
 def longest_repeats(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each word the number of words from it on that occur at another place of its text too. codes: of words, side
-    by side; first: bounds of texts."""
+    """For each word the number of words from it on that occur at another place of its text too. codes: of words (equal
+    words have equal ones), side by side; first: bounds of texts."""
     n = len(codes)
     out = np.zeros(n, np.int32)
     if n < 2:
         return out
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     stop = first[1:][text]
-    key = mix(codes ^ mix(text.astype(np.uint64)))
+    key = text * (int(codes.max()) + 1) + codes
     order = np.argsort(key)
     key = key[order]
     begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(begins, n))
     rank = np.empty(n, np.int32)
     rank[order] = np.repeat(begins, sizes)
-    levels, step = [rank.copy()], 1
+    # ranks are kept of each round, of very long texts of each third one, which the descent then tries seven times
+    levels, step, stride, rounds = [rank.copy()], 1, 1 if n < LONG else 3, 0
     tied = np.repeat(sizes > 1, sizes)
     slots = np.flatnonzero(tied)  # places of the suffix array that aren't settled
     shared = slots
@@ -64,7 +67,8 @@ def longest_repeats(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
         tied = np.repeat(sizes > 1, sizes)
         slots = slots[tied]
         step *= 2
-        if len(slots):
+        rounds += 1
+        if len(slots) and rounds % stride == 0:
             levels.append(rank.copy())
     # common prefixes of neighbours in the suffix array that share a word
     shared = shared[1:][np.diff(shared) == 1]
@@ -73,10 +77,12 @@ def longest_repeats(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     shared, a, b = shared[near], a[near], b[near]
     common = np.zeros(len(a), np.int32)
     for j in range(len(levels) - 1, -1, -1):
-        x, y = a + common, b + common
-        ok = np.maximum(x, y) < stop[a]
-        ok[ok] = levels[j][x[ok]] == levels[j][y[ok]]
-        common += ok.astype(np.int32) << j
+        for _ in range(2**stride - 1):
+            x, y = a + common, b + common
+            ok = np.maximum(x, y) < stop[a]
+            ok[ok] = levels[j][x[ok]] == levels[j][y[ok]]
+            common += ok.astype(np.int32) << (j * stride)
+        levels.pop()
     np.maximum.at(out, a, common)
     np.maximum.at(out, b, common)
     return out
@@ -108,7 +114,7 @@ def measured(texts: pa.Array, min_repeat: int) -> list[np.ndarray]:
     """COLUMNS of each text."""
     data, bounds = buffers(texts)
     starts, stops, first = word_spans(data, bounds)
-    longest = longest_repeats(span_hashes(data, starts, stops), first)
+    longest = longest_repeats(distinct_spans(data, starts, stops)[0], first)
     repeated = covered(*spans(longest, first, 3), len(longest))
     union = covered(*spans(longest, first, min_repeat), len(longest))
     most = np.zeros(len(texts), np.int64)
@@ -118,9 +124,9 @@ def measured(texts: pa.Array, min_repeat: int) -> list[np.ndarray]:
     with_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends = line_starts[with_word], line_ends[with_word]
     text = np.searchsorted(bounds, line_starts, "right") - 1
-    key = mix(span_hashes(data, line_starts, line_ends) ^ mix(text.astype(np.uint64)))
-    _, at = np.unique(key, return_index=True)
-    again = np.ones(len(key), bool)
+    line, lines = distinct_spans(data, line_starts, line_ends)
+    _, at = np.unique(text * (len(lines) + 1) + line, return_index=True)
+    again = np.ones(len(line), bool)
     again[at] = False
     n_dup_lines = np.bincount(text[again], minlength=len(texts))
     return [

@@ -160,6 +160,58 @@ def test_repetition_verdicts(spark):
     assert rows[4].n_words == 0 and repetition.verdicts(empty(documents(spark, texts))).count() == 0
 
 
+def thue_morse(n, a, b):
+    """Words of n letters that collide under sums of powers modulo 2^64, from 1,024 letters on."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word.translate(str.maketrans("ab", a + b))
+
+
+PAIRS = [(thue_morse(n, "a", "b"), thue_morse(n, "b", "a")) for n in (1024, 2048)]
+
+
+def test_words_and_lines_are_compared_by_bytes(spark):
+    texts = [f"{a}\n{b}\n" for a, b in PAIRS] + [f"{a} x y {b} x y" for a, b in PAIRS] + [x for p in PAIRS for x in p]
+    found = repetition.measured(pa.array(texts), 5)
+    for i, t in enumerate(texts):
+        assert [int(c[i]) for c in found] == brute_repetition(t, 5)
+    library, coder = oracle_of(WORDS), packing.WordLevel(WORDS)
+    for part in ([0, 1], [4], [5], [6], [7], [2, 3]):  # known words of other calls too
+        ids, bounds = coder.encode(pa.array([texts[i] for i in part]))
+        assert [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:], strict=False)] == [library.encode(texts[i], add_special_tokens=False).ids for i in part]
+    a = " ".join(x for k in range(60) for x in (f"{PAIRS[0][0]}", f"u{k}"))
+    b = a.replace(PAIRS[0][0], PAIRS[0][1]).replace("u", "U")
+    assert substrings.passages(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).count() == 0
+
+
+def test_known_words_are_verified():
+    """A word whose hash is another known word's is merged, not taken for it."""
+    library, coder = oracle_of(WORDS), packing.WordLevel(WORDS)
+    coder.encode(pa.array(["some known words"]))
+    coder.memo = (np.sort(common.word_hashes(np.frombuffer(b"other", np.uint8), np.array([0]), np.array([5]))), *(x[:1] for x in coder.memo[1:5]), *coder.memo[5:])
+    for _ in range(2):
+        assert coder.encode(pa.array(["other words"]))[0].tolist() == library.encode("other words", add_special_tokens=False).ids
+
+
+def test_very_long_texts_repeat(monkeypatch):
+    rng = random.Random(4)
+    texts = ["x " * 3000, " ".join(rng.choices("ab", k=2000)), "a b c d e f g " * 500]
+    plain = [c.tolist() for c in repetition.measured(pa.array(texts), 5)]
+    monkeypatch.setattr(repetition, "LONG", 10)
+    assert [c.tolist() for c in repetition.measured(pa.array(texts), 5)] == plain
+    assert plain[-1][0] == 2999 and plain[-1][2] == 3493
+
+
+def test_word_hashes_and_distinct_spans():
+    rng = random.Random(7)
+    words = ["".join(rng.choices("ab\u00e9", k=rng.randint(1, 14))).encode() for _ in range(3000)]
+    raw = np.frombuffer(b" ".join(words), np.uint8)
+    starts, stops, _ = common.word_spans(raw, np.array([0, len(raw)]))
+    h = common.word_hashes(raw, starts, stops)
+    codes, distinct = common.distinct_spans(raw, starts, stops)
+    assert [distinct[c].as_py() for c in codes] == words
+    assert len({*zip(words, h.tolist(), strict=True)}) == len({*words}) == len({*h.tolist()})
+
+
 # 7: language
 
 
@@ -437,6 +489,45 @@ def test_exact_passages_of_lines_from_elsewhere_are_found(spark):
         assert [(r.doc_id, r.start, r.end, r.first_ids, r.similarity) for r in rows] == [(c, 40, 40 + len(passage), [b], 1.0)]
 
 
+def test_entries_meet_across_blocks_and_buckets(spark, monkeypatch):
+    """However texts are cut into blocks and partitions, all places of shared seeds come out, with an earlier holder."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices("abcd", k=rng.randint(0, 60))) for _ in range(60)]
+    runs = [[tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)] for t in texts]
+    holders = defaultdict(set)
+    for i, own in enumerate(runs):
+        for r in own:
+            holders[r].add(i)
+    want = {(i, x) for i, own in enumerate(runs) for x, r in enumerate(own) if len(holders[r]) > 1}
+    for kind, name in (("long", lambda i: i), ("string", lambda i: f"d{i:03}")):
+        df = spark.createDataFrame([(name(i), t) for i, t in enumerate(texts)], f"doc_id {kind}, text string").repartition(7)
+        number = {name(i): i for i in range(len(texts))}
+        for size in (200, 1 << 20):
+            rows = substrings.links(df, "doc_id", "text", 5, block_bytes=size).collect()
+            assert {(number[r.id], r["at"] // 2) for r in rows} == want
+            for r in rows:
+                i, j = number[r.id], number[r.other]
+                assert j <= i and runs[i][r["at"] // 2] == runs[j][r.there // 2]
+                assert j < i or i == min(holders[runs[i][r["at"] // 2]]) or r["at"] % 2 == 0
+
+
+def test_bitmap_misses_no_id(spark):
+    ids = spark.range(0, 3000, 3)
+    for bits in (1 << 15, 1 << 20):
+        found = common.Bitmap(ids, "id", bits).marked(spark.range(3000).withColumn("page", F.lit(1)), "id", "hit").where("hit")
+        rows = {r.id for r in found.collect()}
+        assert rows >= {*range(0, 3000, 3)} and len(rows) < 1250 and found.columns == ["id", "page", "hit"]
+    assert common.Bitmap(ids.where("false"), "id").marked(ids, "id", "hit").where("hit").count() == 0
+
+
+def test_columns_named_like_ours_pass(spark):
+    df, texts, _ = passage_fixture(spark)
+    df = df.withColumn("cut_id", F.lit(7)).withColumn("cut_spans", F.lit("mine")).withColumn("cut_hit", F.lit(1)).withColumn("page", F.lit(2)).withColumn("bits", F.lit(3))
+    out = substrings.without(df, substrings.passages(df))
+    row = out.where("doc_id = 3").first()
+    assert out.columns == df.columns and (row.cut_id, row.cut_spans, row.cut_hit, row.page, row.bits) == (7, "mine", 1, 2, 3) and len(row.text) < len(texts[3])
+
+
 def test_thinned_matches_hold_the_same_words():
     rng = np.random.default_rng(2)
     for _ in range(100):
