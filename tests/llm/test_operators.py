@@ -386,6 +386,18 @@ def test_url_lists_edge_cases(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_url_lists_clashing_columns_and_long_urls(spark):
+    t = lambda d: f"2024-01-{d:02} 00:00:00"
+    deep = "c.org/" + "/".join("p" * 3)
+    events = spark.createDataFrame([("l", "prefix", deep, "block", "add", t(1)), ("l", "domain", "b.com", "block", "add", t(1))], "list string, kind string, pattern string, verdict string, action string, at string").withColumn("at", F.to_timestamp("at"))
+    urls = ["https://b.com/" + "a/" * 20_000, "https://c.org/p/p/p/" + "q/" * 20_000, "https://c.org/p/p"]
+    df = spark.createDataFrame([*enumerate(urls)], "id long, url string").withColumn("fetched_at", F.to_timestamp(F.lit(t(3))))
+    for c in ("top", "c_url", "c_at", "told", "hit", "n", "list", "verdict"):
+        df = df.withColumn(c, F.lit("mine"))
+    rows = url_lists.judge(df, events).orderBy("id").collect()
+    assert [(r.blocked, r.n_active, r.pattern, r.lists, r.top, r.c_url, r.told) for r in rows] == [(True, 1, "b.com", "l", "mine", "mine", "mine"), (True, 1, deep, "l", "mine", "mine", "mine"), (False, 0, None, "", "mine", "mine", "mine")]
+
+
 # 10: substrings
 
 
