@@ -168,17 +168,23 @@ def visible(nodes: DataFrame, always: tuple[str, ...] = ("KNOWLEDGE_GRAPH.md", "
     return nodes.where(F.col("is_dir") | F.col("name").isin(*always) | F.col("path").rlike(r"(^|/)model_output(/|$)"))
 
 
-def full_paths(dentries: DataFrame, root: int = 1, levels: int = 64) -> DataFrame:
-    """JOI-14: (ino, path) by walking down from the root, a level a round, until no child is left."""
+def full_paths(dentries: DataFrame, root: int = 1) -> DataFrame:
+    """JOI-14: (ino, path) by walking down from the root, a level a round, until no child is left, however deep. Each
+    level is written, so the plan doesn't grow with the depth. An entry below itself, which would go on for ever, is an
+    error; entries that the root doesn't reach have no path."""
     from corpusloom.plans.lineage import cut
 
-    level = dentries.where(F.col("parent_ino") == root).select("ino", F.concat(F.lit("/"), "name").alias("path"))
-    out = level
-    for _ in range(levels):
-        level = cut(level.withColumnRenamed("ino", "parent_ino").join(dentries, "parent_ino").select("ino", F.concat("path", F.lit("/"), "name").alias("path")))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
+    level = cut(dentries.where((F.col("parent_ino") == root) & (F.col("ino") != root)).select("ino", F.concat(F.lit("/"), "name").alias("path"), F.array("parent_ino", "ino").alias("seen")))
+    out, rounds = level.select("ino", "path"), 0
+    while not level.isEmpty():
+        below = level.withColumnRenamed("ino", "parent_ino").join(dentries, "parent_ino")
+        level = cut(below.select("ino", F.concat("path", F.lit("/"), "name").alias("path"), F.array_append("seen", F.col("ino")).alias("seen"), F.array_contains("seen", F.col("ino")).alias("again")))
+        if not level.where("again").isEmpty():
+            raise ValueError("the entries have a cycle")
+        level, rounds = level.drop("again"), rounds + 1
+        out = out.unionByName(level.select("ino", "path"))
+        if rounds % 50 == 0:
+            out = cut(out)
     return out
 
 

@@ -74,37 +74,26 @@ def _(t: Tables):
     return graph.candidates(t.edges, t.communities, _matched(t)).select("filepath", "reason", nine("score"))
 
 
-PPR = """both_ AS (SELECT concat('f', from_path) AS a, concat('e', to_path) AS b, count(*) AS n FROM edges GROUP BY ALL), sides AS (SELECT a, b, n FROM both_ UNION ALL SELECT b, a, n FROM both_),
-deg AS (SELECT a, sum(n) AS d FROM sides GROUP BY a), walk AS (SELECT a, b, n / d AS p FROM sides JOIN deg USING (a)), st AS (SELECT a FROM deg WHERE a IN (SELECT concat('e', path) FROM matched)),
-base AS (SELECT a, 0.5 / (SELECT count(*) FROM st) AS r FROM st), r0 AS (SELECT a, 2 * r AS r FROM base)"""
-for _i in range(1, 4):
-    PPR += f", r{_i} AS (SELECT a, sum(r) AS r FROM (SELECT b AS a, 0.5 * sum(r * p) AS r FROM walk JOIN r{_i - 1} USING (a) GROUP BY b UNION ALL SELECT a, r FROM base) GROUP BY a)"
+#: The walk's 30 rounds, unrolled. Each round is materialised, or the planner would expand them in one another.
+PPR = """both_ AS MATERIALIZED (SELECT concat('f', from_path) AS a, concat('e', to_path) AS b, count(*) AS n FROM edges GROUP BY ALL), sides AS MATERIALIZED (SELECT a, b, n FROM both_ UNION ALL SELECT b, a, n FROM both_),
+deg AS MATERIALIZED (SELECT a, sum(n) AS d FROM sides GROUP BY a), walk AS MATERIALIZED (SELECT a, b, n / d AS p FROM sides JOIN deg USING (a)), st AS MATERIALIZED (SELECT a FROM deg WHERE a IN (SELECT concat('e', path) FROM matched)),
+base AS MATERIALIZED (SELECT a, 0.5 / (SELECT count(*) FROM st) AS r FROM st), r0 AS MATERIALIZED (SELECT a, 2 * r AS r FROM base)"""
+for _i in range(1, 31):
+    PPR += f", r{_i} AS MATERIALIZED (SELECT a, sum(r) AS r FROM (SELECT b AS a, 0.5 * sum(r * p) AS r FROM walk JOIN r{_i - 1} USING (a) GROUP BY b UNION ALL SELECT a, r FROM base) GROUP BY a)"
 
 
-@q("grf10_ppr_3iter", f"WITH {MATCHED}, {PPR}, f AS (SELECT substr(a, 2) AS filepath, r FROM r3 WHERE a LIKE 'f%') SELECT filepath, round(r / (SELECT max(r) FROM f), 9) AS mass FROM f")
+@q("grf10_ppr", f"WITH {MATCHED}, {PPR}, f AS (SELECT substr(a, 2) AS filepath, r FROM r30 WHERE a LIKE 'f%') SELECT filepath, round(r / (SELECT max(r) FROM f), 9) AS mass FROM f")
 def _(t: Tables):
-    return graph.pagerank(t.edges, _matched(t), rounds=3).select("filepath", nine("mass"))
+    return graph.pagerank(t.edges, _matched(t)).select("filepath", nine("mass"))
 
 
-@q("grf11_ppr_prior", f"""WITH {MATCHED}, {PPR}, f AS (SELECT substr(a, 2) AS filepath, r FROM r2 WHERE a LIKE 'f%'), c AS (SELECT concat('/orders/', o_orderkey, '.md') AS filepath FROM orders)
+@q("grf11_ppr_prior", f"""WITH {MATCHED}, {PPR}, f AS (SELECT substr(a, 2) AS filepath, r FROM r30 WHERE a LIKE 'f%'), c AS (SELECT concat('/orders/', o_orderkey, '.md') AS filepath FROM orders)
 SELECT filepath, round(0.12 * coalesce(r, 0) / (SELECT max(r) FROM f), 9) AS prior, coalesce(r, 0) > 0 AS connected FROM c LEFT JOIN f USING (filepath)""")
 def _(t: Tables):
-    files = t.orders.select(F.concat(F.lit("/orders/"), "o_orderkey", F.lit(".md")).alias("filepath"))
-    return graph.pagerank_prior(graph.pagerank(t.edges, _matched(t), rounds=2), files).select("filepath", nine("prior"), "connected")
-
-
-@q("grf11_ppr_prior_30")
-def _(t: Tables):
-    """The prior over the default 30 rounds; grf11_ppr_prior has two, as its SQL."""
     files = t.orders.select(F.concat(F.lit("/orders/"), "o_orderkey", F.lit(".md")).alias("filepath"))
     return graph.pagerank_prior(graph.pagerank(t.edges, _matched(t)), files).select("filepath", nine("prior"), "connected")
 
 
-@q("grf10_ppr")
-def _(t: Tables):
-    return graph.pagerank(t.edges, _matched(t)).select("filepath", nine("mass"))
-
-
 PAIRS = """own AS (SELECT DISTINCT from_path, to_path FROM edges), kept AS (SELECT to_path FROM own GROUP BY to_path HAVING count(*) BETWEEN 2 AND 64),
 pairs AS (SELECT x.from_path AS a, y.from_path AS b, count(*) AS w FROM own x JOIN own y ON x.to_path = y.to_path AND x.from_path < y.from_path WHERE x.to_path IN (SELECT to_path FROM kept) GROUP BY ALL)"""
 
@@ -264,19 +253,12 @@ def _resolved(t: Tables, refs):
     return graph.resolved(refs, symbols).select("source", "target", "relation", "confidence")
 
 
-@q("grf34_resolve_all", """WITH s AS (SELECT concat('/sym/', p_partkey) AS target, p_name AS simple, CASE WHEN p_size % 2 = 0 THEN 'function' ELSE 'class' END AS kind FROM part), r AS (SELECT concat('/sym/', p_partkey) AS source, p_name AS simple, CASE WHEN p_size % 3 = 0 THEN 'calls' ELSE 'inherits' END AS relation FROM part)
+@q("grf34_resolve", """WITH s AS (SELECT concat('/sym/', p_partkey) AS target, p_name AS simple, CASE WHEN p_size % 2 = 0 THEN 'function' ELSE 'class' END AS kind FROM part), r AS (SELECT concat('/sym/', p_partkey) AS source, p_name AS simple, CASE WHEN p_size % 3 = 0 THEN 'calls' ELSE 'inherits' END AS relation FROM part)
 SELECT DISTINCT source, target, relation, CASE WHEN relation = 'inherits' THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence FROM r JOIN s USING (simple) WHERE source <> target AND kind = CASE WHEN relation = 'calls' THEN 'function' ELSE 'class' END""")
 def _(t: Tables):
-    """References of all brands; grf34_resolve has one, as its SQL."""
     return _resolved(t, t.part)
 
 
-@q("grf34_resolve", """WITH s AS (SELECT concat('/sym/', p_partkey) AS target, p_name AS simple, CASE WHEN p_size % 2 = 0 THEN 'function' ELSE 'class' END AS kind FROM part), r AS (SELECT concat('/sym/', p_partkey) AS source, p_name AS simple, CASE WHEN p_size % 3 = 0 THEN 'calls' ELSE 'inherits' END AS relation FROM part WHERE p_brand = 'Brand#1')
-SELECT DISTINCT source, target, relation, CASE WHEN relation = 'inherits' THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence FROM r JOIN s USING (simple) WHERE source <> target AND kind = CASE WHEN relation = 'calls' THEN 'function' ELSE 'class' END""")
-def _(t: Tables):
-    return _resolved(t, t.part.where("p_brand = 'Brand#1'"))
-
-
 @q("grf36_build_lane", "SELECT doc_id, CASE WHEN doc_id % 4 = 1 AND text IS NOT NULL THEN 'ast' ELSE 'llm' END AS lane FROM documents")
 def _(t: Tables):
     return t.files.drop("text").join(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", graph.build_lane(F.col("filepath"), F.col("text").isNotNull()).alias("lane"))

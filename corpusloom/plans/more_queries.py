@@ -212,21 +212,13 @@ def _(t: Tables):
     return t.benchmark.select("item_id", F.md5(extraction.marked_block(old, "new")).alias("text_md5"))
 
 
-@q("dml07_blocks_whole", "SELECT doc_id AS ino, md5(regexp_replace(coalesce(text, ''), '[^ -~\n]', '?', 'g')) AS data_md5 FROM documents")
+@q("dml07_blocks_round_trip", "SELECT doc_id AS ino, md5(regexp_replace(coalesce(text, ''), '[^ -~\n]', '?', 'g')) AS data_md5 FROM documents")
 def _(t: Tables):
-    """Files read back whole; dml07_blocks_round_trip reads 9,000 bytes, as its SQL."""
     own = t.documents.select(F.col("doc_id").alias("ino"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~\n]", "?").cast("binary").alias("data"))
     out = maintenance.read_bytes(maintenance.blocks_of(own), own.select("ino", F.octet_length("data").alias("size")))
     return out.select("ino", F.md5("data").alias("data_md5"))
 
 
-@q("dml07_blocks_round_trip", "SELECT doc_id AS ino, md5(left(regexp_replace(coalesce(text, ''), '[^ -~\n]', '?', 'g'), 9000)) AS data_md5 FROM documents")
-def _(t: Tables):
-    own = t.documents.select(F.col("doc_id").alias("ino"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~\n]", "?").cast("binary").alias("data"))
-    out = maintenance.read_bytes(maintenance.blocks_of(own), own.select("ino", F.octet_length("data").alias("size")), 0, 9000)
-    return out.select("ino", F.md5("data").alias("data_md5"))
-
-
 @q("snk03_report_lines")
 def _(t: Tables):
     relations = t.nation.select(F.col("n_name").alias("source"), F.col("n_regionkey").cast("string").alias("target"), F.lit("part_of").alias("relation"), F.lit("AMBIGUOUS").alias("confidence"), F.lit(1.0).alias("confidence_score"))
