@@ -5,16 +5,22 @@ no label, links with nothing. Vectors of other lengths aren't comparable. Equal
 to the least id and a count.
 
 Each pass gives a class representative a code of 64 concatenated random hashes (the signs of products with random
-directions) and sorts label, pass and code lexicographically over the cluster; every vector is compared, in double
-precision, with the `window` next ones. Verified pairs are united within a task and, across passes, as components, so
-what leaves a task grows with its rows. Two vectors at the threshold agree on a hash with probability 0.88, so they
-share the first hashes that tell `window` neighbours apart from the rest, log2(classes of the label / window) of them,
-in a share of the passes that falls with the label's size. The number of passes follows from the largest label, so that
-a pair at the threshold without other links is found with probability `recall`; 20 passes at least. The window goes on
-over the ends of the sorted partitions.
-
-An exact check follows: inside each component all pairs are compared, in blocks of `block` members, a task for each
-pair of blocks, which gives each class its number of links; no pair is emitted.
+directions, of the vector less the mean of its label's unit vectors: vectors that share a direction, as text embeddings
+do, all have like signs otherwise) and sorts label, pass and code lexicographically over the cluster; every vector is
+compared, in double precision, with the `window` next ones. Verified pairs are united within a task and, across passes,
+as components, so what leaves a task grows with its rows. With a background cosine c (the mean over the label's pairs), a
+pair at the threshold t has about cosine (t - c) / (1 - c) from the mean, by which two vectors agree on a hash with
+probability p (0.88 for t = 0.93, c = 0), so they share the first hashes that tell `window` neighbours apart from the
+rest, log2(classes of the label / window) of them, in a share of the passes that falls with the label's size. Each
+label has as many passes as find a pair at the threshold without other links with probability `recall`; 20 at least.
+Without a given window it is doubled, up to 512, while a label would need over 40 passes. The window goes on over the
+ends of the sorted partitions. recall_of() measures recall for sampled queries against all vectors of their label.
+
+An exact check follows, which gives each class its number of links; no pair is emitted. A component's members lie in
+blocks of `block` neighbours by code, a row for each block with its centre and the largest angle from it. By these most
+pairs of blocks are decided as a whole: all linked, or none. Only blocks of the other pairs meet in a task and are
+compared vector by vector. Rows are as many as blocks and pairs of blocks (for 8,000 members of one component 32 and
+528); the comparisons of a component that no bound decides grow with the square of its size.
 
 Edge cases: an empty table gives an empty result; repeated rows count as links of one another.
 """
@@ -27,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +42,10 @@ from .common import components, least_labels, saved, whole_groups
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Unit vectors in double precision."""
-    x = column.flatten().to_numpy(False).astype(np.float64).reshape(-1, dim)
+    return _unit(column.flatten().to_numpy(False).astype(np.float64).reshape(-1, dim))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
@@ -58,15 +67,51 @@ def classes_of(df: DataFrame, vec_id: str, vector: str, label: str) -> tuple[Dat
     return rows.drop("v"), classes
 
 
-def passes_for(classes: int, threshold: float, window: int, recall: float, least: int = 20) -> int:
-    """Passes by which a pair at the threshold in a label of so many classes is found with probability recall."""
-    agree = 1 - math.acos(min(max(threshold, -1.0), 1.0)) / math.pi
+def passes_for(classes: int, threshold: float, window: int, recall: float, least: int = 20, background: float = 0.0) -> int:
+    """Passes by which a pair at the threshold in a label of so many classes is found with probability recall. background:
+    the mean cosine of the label's pairs."""
+    inner = (threshold - background) / max(1 - background, 1e-9)
+    agree = 1 - math.acos(min(max(inner, -1.0), 1.0)) / math.pi
     one = agree ** max(0.0, math.log2(max(classes, 1) / window))
     return least if one >= 1 else max(least, math.ceil(math.log(1 - recall) / math.log1p(-one)))
 
 
-def found_links(classes: DataFrame, threshold: float, passes: int, window: int, seed: int) -> DataFrame:
-    """(a, b) of representatives, united within each task: as components, the verified pairs of all passes."""
+def passes_column(threshold: float, window: int, recall: float, least: int = 20):
+    """passes_for() of the columns n and background, 400 at most where no number of passes would do (a label whose
+    background is about the threshold)."""
+    inner = (F.lit(threshold) - F.col("background")) / F.greatest(1 - F.col("background"), F.lit(1e-9))
+    agree = 1 - F.acos(F.least(F.greatest(inner, F.lit(-1.0)), F.lit(1.0))) / math.pi
+    one = F.pow(agree, F.greatest(F.lit(0.0), F.log2(F.col("n") / window)))
+    needed = F.ceil(F.lit(math.log(1 - recall)) / F.log1p(-F.least(one, F.lit(1 - 1e-12))))
+    return F.least(F.greatest(needed, F.lit(least)), F.lit(400)).cast("int")
+
+
+def label_means(classes: DataFrame) -> DataFrame:
+    """(label, dim, n, mean, background) of the unit vectors of each label and length, summed up before they move."""
+    schema = T.StructType([classes.schema["label"], T.StructField("dim", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("total", T.ArrayType(T.DoubleType()))])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("label").dictionary_encode()
+            code, size = np.asarray(found.indices), np.asarray(batch.column("v").value_lengths())
+            for dim in np.unique(size).tolist():
+                own = np.flatnonzero(size == dim)
+                x = _matrix(batch.column("v").take(pa.array(own)), dim)
+                labels, inverse = np.unique(code[own], return_inverse=True)
+                totals = np.zeros((len(labels), dim))
+                np.add.at(totals, inverse, x)
+                yield pa.RecordBatch.from_arrays([found.dictionary.take(pa.array(labels)), pa.array(np.full(len(labels), dim, np.int32)), pa.array(np.bincount(inverse).astype(np.int64)), pa.array(list(totals), pa.list_(pa.float64()))], names=schema.names)
+
+    parts = classes.select("label", "v").mapInArrow(summed, schema)
+    # the sizes come with the first component, so that they are counted once
+    sums = parts.select("label", "dim", "n", F.posexplode("total").alias("pos", "x")).groupBy("label", "dim", "pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    means = sums.groupBy("label", "dim").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", (F.col("x") / F.col("n")).alias("m")))).alias("m"))
+    return means.select("label", "dim", "n", F.col("m.m").alias("mean"), F.aggregate("m.m", F.lit(0.0), lambda t, x: t + x * x).alias("background"))
+
+
+def found_links(classes: DataFrame, threshold: float, window: int, seed: int) -> DataFrame:
+    """(a, b) of representatives, united within each task: as components, the verified pairs of all passes. classes have
+    their label's mean and its number of passes."""
     kind, element = classes.schema["first"].dataType, classes.schema["v"].dataType
     label = classes.schema["label"]
     coded = T.StructType([label, T.StructField("dim", T.IntegerType()), T.StructField("pass", T.IntegerType()), T.StructField("code", T.LongType()), T.StructField("first", kind), T.StructField("v", element)])
@@ -78,9 +123,13 @@ def found_links(classes: DataFrame, threshold: float, passes: int, window: int,
                 size = np.asarray(batch.column("v").value_lengths())
                 for dim in np.unique(size).tolist():
                     part = batch.filter(pa.array(size == dim))
-                    codes = _codes(_matrix(part.column("v"), dim), passes, seed)
-                    at = pa.array(np.repeat(np.arange(part.num_rows), passes))
-                    yield pa.RecordBatch.from_arrays([part.column("label").take(at), pa.array(np.full(len(at), dim, np.int32)), pa.array(np.tile(np.arange(passes, dtype=np.int32), part.num_rows)), pa.array(codes.ravel()), part.column("first").take(at), part.column("v").take(at)], names=coded.names)
+                    label = part.column("label").dictionary_encode().indices.to_numpy(False)
+                    for code in np.unique(label).tolist():
+                        own = part.filter(pa.array(label == code))
+                        passes = own.column("passes")[0].as_py()
+                        codes = _codes(_matrix(own.column("v"), dim) - np.asarray(own.column("mean")[0].as_py()), passes, seed)
+                        at = pa.array(np.repeat(np.arange(own.num_rows), passes))
+                        yield pa.RecordBatch.from_arrays([own.column("label").take(at), pa.array(np.full(len(at), dim, np.int32)), pa.array(np.tile(np.arange(passes, dtype=np.int32), own.num_rows)), pa.array(codes.ravel()), own.column("first").take(at), own.column("v").take(at)], names=coded.names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -107,7 +156,7 @@ def found_links(classes: DataFrame, threshold: float, passes: int, window: int,
                         if len(own):
                             yield pa.RecordBatch.from_arrays([first.take(pa.array(at[own])), first.take(pa.array(at[low[own]]))], names=["a", "b"])
 
-    all_passes = saved(classes.select("label", "first", "v").mapInArrow(code, coded), "passes")
+    all_passes = saved(classes.select("label", "first", "v", "mean", "passes").mapInArrow(code, coded), "passes")
     order = ["label", "dim", "pass", "code", "first"]
     links = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     ends = T.StructType([*links, *coded, *(T.StructField(c, T.IntegerType()) for c in ("part", "head", "tail"))])
@@ -166,48 +215,108 @@ def found_links(classes: DataFrame, threshold: float, passes: int, window: int,
     return inside.unionByName(over.select(*coded.names).mapInArrow(compare, links))
 
 
-def exact_counts(members: DataFrame, threshold: float, block: int) -> DataFrame:
+def exact_counts(members: DataFrame, threshold: float, block: int, seed: int = 11) -> DataFrame:
     """(first, linked): for each of members (component, first, copies, v) the copies in other classes of its component
     that reach the threshold."""
-    kind = members.schema["first"].dataType
-    size = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    placed = members.join(size, "component").withColumn("own", F.pmod(F.xxhash64("first"), F.col("n")).cast("int"))
-    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "first", "copies", "v")
-    keys = ["component", "lo", "hi"]
+    kind, element = members.schema["first"].dataType, members.schema["v"].dataType.elementType
+    raw = "<f4" if isinstance(element, T.FloatType) else "<f8"
+    limit, sure = math.acos(min(max(threshold, -1.0), 1.0)), 1e-6
+    fields = [T.StructField("component", members.schema["component"].dataType), T.StructField("block", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("firsts", T.ArrayType(kind)), T.StructField("copies", T.ArrayType(T.LongType())), T.StructField("v", T.BinaryType()), T.StructField("centre", T.ArrayType(T.DoubleType())), T.StructField("radius", T.DoubleType())]
+    blocked = T.StructType(fields)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The place of each member in its component's order."""
+        for batch in batches:
+            size = np.asarray(batch.column("v").value_lengths())
+            code = np.zeros(batch.num_rows, np.int64)
+            for dim in np.unique(size).tolist():
+                own = size == dim
+                code[own] = _codes(_matrix(batch.column("v").filter(pa.array(own)), dim), 1, seed).ravel()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code)], names=[*batch.schema.names, "code"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for rows, bounds in whole_groups(batches, ["component"]):
+            first, copies, vectors, component = (rows.column(c).combine_chunks() for c in ("first", "copies", "v", "component"))
+            for i, j in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+                dim = len(vectors[i])
+                for a in range(i, j, block):
+                    n = min(block, j - a)
+                    own = vectors.slice(a, n)
+                    x = _matrix(own, dim)
+                    centre = x.sum(0)
+                    centre = centre / (np.sqrt(centre @ centre) or 1.0)
+                    radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+                    numbers = own.flatten().to_numpy(False).astype(raw).tobytes()
+                    yield pa.RecordBatch.from_arrays([component.slice(a, 1), pa.array([number], pa.int64()), pa.array([dim], pa.int32()), pa.array([first.slice(a, n).to_pylist()], pa.list_(first.type)), pa.array([copies.slice(a, n).to_pylist()], pa.list_(pa.int64())), pa.array([numbers], pa.binary()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius])], names=blocked.names)
+                    number += 1
+
+    coded = T.StructType([*members.select("component", "first", "copies", "v").schema.fields, T.StructField("code", T.LongType())])
+    order = ["component", "code", "first"]
+    blocks = members.select("component", "first", "copies", "v").mapInArrow(placed, coded).repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks = saved(blocks.mapInArrow(cut, blocked), "blocks")
+    heads = blocks.select("component", "block", "centre", "radius", F.aggregate("copies", F.lit(0).cast("long"), lambda t, x: t + x).alias("total"))
+    one, two = (heads.select("component", *(F.col(c).alias(c + k) for c in ("block", "centre", "radius", "total"))) for k in "ab")
+    angle = F.acos(F.least(F.greatest(F.aggregate(F.zip_with("centrea", "centreb", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x), F.lit(-1.0)), F.lit(1.0)))
+    pairs = one.join(two, "component").where("blocka <= blockb").withColumn("angle", F.when(F.col("blocka") == F.col("blockb"), 0.0).otherwise(angle))
+    reach = F.col("radiusa") + F.col("radiusb")
+    pairs = saved(pairs.where(F.col("angle") - reach <= limit + sure).select("blocka", "blockb", "totala", "totalb", (F.col("angle") + reach <= limit - sure).alias("all")), "block-pairs")
+    # a block whose vectors all link with another's has its copies; with its own, those but each one's
+    whole = pairs.where("all")
+    whole = whole.select(F.col("blocka").alias("block"), F.col("totalb").alias("n"), (F.col("blocka") == F.col("blockb")).cast("long").alias("own")).union(whole.where("blocka < blockb").select("blockb", "totala", F.lit(0).cast("long")))
+    whole = whole.groupBy("block").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    side = lambda k: blocks.select(*(F.col(c).alias(c + k) for c in ("block", "dim", "copies", "v")))
+    meet = pairs.where("NOT all").select("blocka", "blockb").join(side("a"), "blocka").join(side("b"), "blockb")
+    counts = T.StructType([T.StructField("block", T.LongType()), T.StructField("linked", T.ArrayType(T.LongType()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, bounds in whole_groups(batches, keys):
-            first, copies, vectors = rows.column("first").combine_chunks(), rows.column("copies").to_numpy(), rows.column("v").combine_chunks()
-            own, lo, hi = (rows.column(c).to_numpy() for c in ("own", "lo", "hi"))
-            linked = np.zeros(rows.num_rows, np.int64)
-            for i, j in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
-                part = vectors.slice(i, j - i)
-                x = _matrix(part, len(part[0]))
-                if lo[i] == hi[i]:
-                    near = x @ x.T >= threshold
+        for batch in batches:
+            out = []
+            for a, b, dim, ca, cb, va, vb in zip(*(batch.column(c) for c in ("blocka", "blockb", "dima", "copiesa", "copiesb", "va", "vb")), strict=True):
+                left, right = (_unit(np.frombuffer(v.as_py(), raw).astype(np.float64).reshape(-1, dim.as_py())) for v in (va, vb))
+                near = left @ right.T >= threshold
+                if a.as_py() == b.as_py():
                     np.fill_diagonal(near, False)
-                    linked[i:j] = near @ copies[i:j]
                 else:
-                    left = own[i:j] == lo[i]
-                    near = x[left] @ x[~left].T >= threshold
-                    linked[i:j][left] = near @ copies[i:j][~left]
-                    linked[i:j][~left] = copies[i:j][left] @ near
-            yield pa.RecordBatch.from_arrays([pa.chunked_array([first]).combine_chunks() if isinstance(first, pa.ChunkedArray) else first, pa.array(linked)], names=["first", "linked"])
-
-    out = T.StructType([T.StructField("first", kind), T.StructField("linked", T.LongType())])
-    return tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(count, out).groupBy("first").agg(F.sum("linked").alias("linked"))
-
-
-def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, passes: int | None = None, window: int = 32, block: int = 1024, seed: int = 11, recall: float = 0.999) -> DataFrame:
-    """vec_id, n_links, component_id and kept of each row. Without a number of passes it follows from recall."""
+                    out.append((b.as_py(), np.asarray(ca.values) @ near))
+                out.append((a.as_py(), near @ np.asarray(cb.values)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64()))], names=counts.names)
+
+    found = meet.mapInArrow(count, counts).select("block", F.posexplode("linked").alias("pos", "linked")).groupBy("block", "pos").agg(F.sum("linked").alias("linked"))
+    every = blocks.select("block", F.posexplode(F.arrays_zip("firsts", "copies")).alias("pos", "m")).select("block", "pos", F.col("m.firsts").alias("first"), F.col("m.copies").alias("copies"))
+    told = every.join(whole, "block", "left").join(found, ["block", "pos"], "left")
+    return told.select("first", (F.coalesce("linked", F.lit(0)) + F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0)) * F.col("copies")).alias("linked"))
+
+
+def recall_of(df: DataFrame, result: DataFrame, queries: Column | str, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93) -> float:
+    """The share of links of the vectors that `queries` (a condition) picks, by brute force against all vectors of their
+    label, whose ends are in one component of result. The picked vectors, a stated set, are broadcast."""
+    good = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull())
+    unit = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
+    own, rest = (x.select(F.col(label).alias("l"), F.col(vec_id).alias("id" + k), F.col(vector).alias("v" + k)) for x, k in ((good.where(queries), "a"), (good, "b")))
+    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
+    links = rest.join(F.broadcast(own), "l").where("ida <> idb").where(dot >= threshold * unit(F.col("va")) * unit(F.col("vb")))
+    of = lambda k: result.select(F.col(vec_id).alias("id" + k), F.col("component_id").alias("c" + k))
+    row = links.join(of("a"), "ida").join(of("b"), "idb").agg(F.count("*").alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("k")).first()
+    return row["k"] / row["n"] if row["n"] else 1.0
+
+
+def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, passes: int | None = None, window: int | None = None, block: int = 256, seed: int = 11, recall: float = 0.999) -> DataFrame:
+    """vec_id, n_links, component_id and kept of each row. Without a number of passes it follows from recall, and without
+    a window (32 to 512) that does too."""
     rows, classes = classes_of(df, vec_id, vector, label)
     rows, classes = saved(rows, "vectors"), saved(classes, "classes")
-    if passes is None:
-        largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-        passes = passes_for(largest, threshold, window, recall)
-    found = saved(components(found_links(classes, threshold, passes, window, seed)), "components")
+    means = saved(label_means(classes), "means")
+    if window is None:
+        widths = (32, 64, 128, 256, 512)
+        most = means.agg(*(F.max(passes_column(threshold, w, recall)).alias(f"w{w}") for w in widths)).first()  # five numbers
+        window = next((w for w in widths if (most[f"w{w}"] or 0) <= 40), widths[-1])
+    means = means.withColumn("passes", F.lit(passes).cast("int") if passes else passes_column(threshold, window, recall))
+    coded = classes.withColumn("dim", F.size("v")).join(means.select("label", "dim", "mean", "passes"), ["label", "dim"])
+    found = saved(components(found_links(coded, threshold, window, seed)), "components")
     members = classes.join(found, F.col("first") == F.col("node")).select("component", "first", "copies", "v")
-    counts = exact_counts(members, threshold, block)
+    counts = exact_counts(members, threshold, block, seed)
     told = classes.select("label", "k1", "k2", "first", "copies").join(found, F.col("first") == F.col("node"), "left").join(counts, "first", "left")
     told = told.select("label", "k1", "k2", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component_id"))
     joined = rows.join(told, ["label", "k1", "k2"], "left")

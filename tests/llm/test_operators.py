@@ -364,6 +364,47 @@ def test_windows_go_on_over_partition_ends(spark):
     assert {r.component_id for r in got} == {0} and {r.n_links for r in got} == {119}
 
 
+@pytest.mark.parametrize("shared", [0.0, 2.0])
+def test_links_of_large_labels_are_found(spark, shared):
+    """20,000 vectors of one label, without and with a shared direction (background cosine 0.8), and close pairs."""
+    rng = np.random.default_rng(5)
+    n, dim = 20_000, 64
+    base = rng.standard_normal((n // 2, dim)) / np.sqrt(dim)
+    drift = rng.standard_normal((n // 2, dim)) / np.sqrt(dim)
+    angle = np.arccos(0.955 if not shared else 0.75)
+    other = np.cos(angle) * base + np.sin(angle) * drift
+    x = np.concatenate([base, other])
+    x[:, 0] += shared
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links, found = 0, 0
+    for i in range(0, n, 2000):
+        a, b = np.nonzero(u[i : i + 2000] @ u.T >= 0.93)
+        for p, q in zip((a + i).tolist(), b.tolist(), strict=True):
+            if p < q:
+                links += 1
+                found += got[p].component_id == got[q].component_id
+    assert links > 2000 and found >= 0.99 * links
+    assert embeddings.recall_of(df, spark.createDataFrame([*got.values()]), "vec_id % 500 = 0") >= 0.99
+
+
+def test_exact_counts_of_a_component(spark):
+    """A chain of overlapping clusters in one component, in small blocks: counts by bounds and by comparison agree."""
+    rng = np.random.default_rng(6)
+    turn = np.repeat(np.linspace(0, 1.2, 30), 10)
+    x = np.stack([np.cos(turn), np.sin(turn), np.zeros(300), np.zeros(300)], 1) + rng.standard_normal((300, 4)) * 0.03
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    copies = rng.integers(1, 4, 300)
+    want = (near & ~np.eye(300, dtype=bool)) @ copies
+    df = spark.createDataFrame([(0, i, int(copies[i]), x[i].tolist()) for i in range(300)], "component long, first long, copies long, v array<double>")
+    for size in (4, 64, 1000):
+        assert {r["first"]: r.linked for r in embeddings.exact_counts(df, 0.93, size).collect()} == dict(enumerate(want.tolist()))
+
+
 # 9: url lists
 
 
