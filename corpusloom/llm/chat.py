@@ -11,8 +11,11 @@ it doesn't share with the leaf before it. Across partitions that is the last pat
 partition goes round. Each node is emitted once, with its start in the stream, position ids that go on from its
 parent's, and the intervals of the stream that it may attend to: its ancestors', joined to as few as touch.
 
-Edge cases: a null text or role is empty; repeated rows of a turn are all kept, ordered by role and text; a null
-conv_id is a conversation of its own; an empty table has no nodes; extra columns take no part. A conversation, being
+Reading back goes the way a model would: a conversation is what its last node attends to, and that node, laid out by the
+position ids, which have to be gapless.
+
+Edge cases: a null text or role is empty; repeated rows of a turn are all kept, ordered by role and text; each row with
+a null conv_id is a conversation of its own; an empty table has no nodes; extra columns take no part. A conversation, being
 one sequence, is laid out by one task; no group of conversations is.
 """
 
@@ -72,7 +75,8 @@ def chained(turns: list[tuple[str, str]]) -> list[bytes]:
 def paths(conversations: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
     """conv_id, leaf, path (nodes side by side), turns (role and text)."""
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    grouped = conversations.groupBy(F.col(conv_id).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    alone = F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id())
+    grouped = conversations.select(F.col(conv_id).alias("conv_id"), alone.alias("alone"), one.alias("one")).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("one")).alias("turns")).drop("alone")
     turns = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
     schema = T.StructType([T.StructField("conv_id", conversations.schema[conv_id].dataType), T.StructField("leaf", T.BinaryType()), T.StructField("path", T.BinaryType()), T.StructField("turns", turns)])
 
@@ -98,9 +102,9 @@ def format_tree(conversations: DataFrame, tokenizer: str, conv_id: str = "conv_i
     ends = ordered.groupBy("part").agg(F.max("path").alias("end"))
     before = ends.select("part", F.lag("end").over(Window.orderBy("part")).alias("end"))  # a row for each partition
     by_path = Window.partitionBy("part").orderBy("path")
-    with_last = ordered.withColumn("last", F.lag("path").over(by_path)).join(F.broadcast(before), "part")
+    with_last = ordered.withColumn("last", F.lag("path").over(by_path)).withColumn("ordinal", F.row_number().over(by_path)).join(F.broadcast(before), "part")
     with_last = with_last.withColumn("last", F.coalesce("last", "end", F.lit(b"")))
-    schema = T.StructType([*(T.StructField(c, T.BinaryType()) for c in ("leaf", "path", "node")), *(T.StructField(c, T.IntegerType()) for c in ("part", "shared", "depth")), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("loss", T.BinaryType())])
+    schema = T.StructType([*(T.StructField(c, T.BinaryType()) for c in ("leaf", "node")), *(T.StructField(c, T.IntegerType()) for c in ("part", "ordinal", "shared", "depth")), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("loss", T.BinaryType())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_level(tokenizer)
@@ -108,34 +112,35 @@ def format_tree(conversations: DataFrame, tokenizer: str, conv_id: str = "conv_i
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
                 rows, strings = [], []
-                for leaf, path, last, part, turns in zip(*(batch.column(c).to_pylist() for c in ("leaf", "path", "last", "part", "turns")), strict=True):
+                for leaf, path, last, part, ordinal, turns in zip(*(batch.column(c).to_pylist() for c in ("leaf", "path", "last", "part", "ordinal", "turns")), strict=True):
                     shared = next((i for i in range(len(path) // NODE) if path[i * NODE : i * NODE + NODE] != last[i * NODE : i * NODE + NODE]), len(path) // NODE)
                     for i in range(shared, len(turns)):
                         t = turns[i]
-                        rows.append((leaf, path, path[i * NODE : (i + 1) * NODE], part, shared, i, t["role"] == "assistant"))
+                        rows.append((leaf, path[i * NODE : (i + 1) * NODE], part, ordinal, shared, i, t["role"] == "assistant"))
                         strings += [HEAD + guard(t["role"]) + MIDDLE, guard(t["text"]), FOOT]
                 if not rows:
                     continue
                 ids, bounds = coder.encode(pa.array(strings, pa.large_string()))
                 out, offset, leaf = [], 0, None
-                for n, (own, path, node, part, shared, depth, said) in enumerate(rows):
+                for n, (own, node, part, ordinal, shared, depth, said) in enumerate(rows):
                     a, b, c, d = bounds[3 * n : 3 * n + 4].tolist()
                     offset = 0 if own != leaf else offset
                     leaf = own
-                    out.append((own, path, node, part, shared, depth, offset, d - a, ids[a:d].astype("<u4").tobytes(), bytes(b - a) + (b"\1" if said else b"\0") * (c - b) + bytes(d - c)))
+                    out.append((own, node, part, ordinal, shared, depth, offset, d - a, ids[a:d].astype("<u4").tobytes(), bytes(b - a) + (b"\1" if said else b"\0") * (c - b) + bytes(d - c)))
                     offset += d - a
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(),) * 3 + (pa.int32(),) * 3 + (pa.int64(),) * 2 + (pa.binary(),) * 2, strict=True)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(),) * 2 + (pa.int32(),) * 4 + (pa.int64(),) * 2 + (pa.binary(),) * 2, strict=True)], names=schema.names)
 
     emitted = saved(with_last.mapInArrow(emit, schema), "nodes")
     # starts: sums within a partition by path, and of the partitions before
-    runs = emitted.groupBy("part", "leaf", "path", "shared").agg(F.sum("length").alias("n"))
+    runs = emitted.groupBy("part", "ordinal", "leaf", "shared").agg(F.sum("length").alias("n"))
+    by_place = Window.partitionBy("part").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     totals = runs.groupBy("part").agg(F.sum("n").alias("n"))
     offsets = totals.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    starts = runs.withColumn("within", F.sum("n").over(by_path.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).join(F.broadcast(offsets), "part")
-    starts = saved(starts.select("leaf", "path", "shared", (F.col("base") + F.col("within")).alias("begin")), "starts")
+    starts = runs.withColumn("within", F.sum("n").over(by_place) - F.col("n")).join(F.broadcast(offsets), "part")
+    starts = saved(starts.select("leaf", "shared", (F.col("base") + F.col("within")).alias("begin")), "starts")
     placed = emitted.join(starts.select("leaf", "begin"), "leaf").withColumn("start", F.col("begin") + F.col("offset"))
     # the ancestors that a leaf shares, from wherever they were emitted
-    shared = starts.where("shared > 0").select("leaf", F.explode(F.transform(F.sequence(F.lit(0), F.col("shared") - 1), lambda i: F.substring(F.col("path"), i * NODE + 1, F.lit(NODE)))).alias("node"))
+    shared = starts.where("shared > 0").join(ordered.select("leaf", "path"), "leaf").select("leaf", F.explode(F.transform(F.sequence(F.lit(0), F.col("shared") - 1), lambda i: F.substring(F.col("path"), i * NODE + 1, F.lit(NODE)))).alias("node"))
     spans = shared.join(placed.select("node", "start", "length"), "node").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("length")).alias("end")))).alias("spans"))
     spans = spans.select("leaf", _touching(F.col("spans")).alias("spans"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("above"))
     joined = placed.join(spans, "leaf", "left")
@@ -156,18 +161,26 @@ def _touching(spans):
     return F.aggregate(spans, start, add)
 
 
-def read_back(nodes: DataFrame, index: DataFrame, tokenizer: str) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the ids and masks of nodes."""
-    leaves = index.select("leaf", "path").distinct()
-    steps = leaves.select("leaf", F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("path") / NODE).cast("int") - 1), lambda i: F.substring(F.col("path"), i * NODE + 1, F.lit(NODE)))).alias("depth", "node"))
-    tokens = steps.join(nodes.select("node", "ids", "loss"), "node")
+def read_back(nodes: DataFrame, index: DataFrame, tokenizer: str, tile: int = 1024) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the stream alone: of each
+    conversation's last node the intervals that it attends to, and itself; the nodes that start in them, looked up by
+    tiles of the stream; laid out by their position ids. A gap or an overlap of positions is an error."""
+    leaves = index.select("leaf").distinct().join(nodes.select(F.col("node").alias("leaf"), "start", "length", "attends_to"), "leaf")
+    itself = F.array(F.struct(F.col("start"), (F.col("start") + F.col("length")).alias("end")))
+    spans = leaves.select("leaf", F.explode(F.concat("attends_to", itself)).alias("s")).select("leaf", F.col("s.start").alias("lo"), F.col("s.end").alias("hi")).where("lo < hi")
+    asked = spans.select("leaf", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / tile), F.floor((F.col("hi") - 1) / tile))).alias("tile"))
+    placed = nodes.select(F.floor(F.col("start") / tile).alias("tile"), "start", "length", "position", "ids", "loss")
+    tokens = asked.join(placed, "tile").where("lo <= start AND start + length <= hi").select("leaf", "position", "length", "ids", "loss")
     schema = T.StructType([T.StructField("leaf", T.BinaryType()), T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = byte_level(tokenizer).merges
         for rows, bounds in whole_groups(batches, ["leaf"]):
             ids, loss, out = rows.column("ids").to_pylist(), rows.column("loss").to_pylist(), []
+            position, length = rows.column("position").to_numpy(), rows.column("length").to_numpy()
             for i, j in pairwise(bounds.tolist()):
+                if (position[i:j] != np.cumsum(length[i:j]) - length[i:j]).any():
+                    raise ValueError("a conversation's positions have a gap")
                 own = np.frombuffer(b"".join(ids[i:j]), "<u4").astype(np.int64)
                 mask = np.frombuffer(b"".join(loss[i:j]), np.uint8) > 0
                 formatted = held.decode(own, np.array([0, len(own)]))[0]
@@ -177,5 +190,5 @@ def read_back(nodes: DataFrame, index: DataFrame, tokenizer: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=schema.names)
 
-    told = tokens.repartition("leaf").sortWithinPartitions("leaf", "depth").mapInArrow(run, schema)
+    told = tokens.repartition("leaf").sortWithinPartitions("leaf", "position").mapInArrow(run, schema)
     return index.select("conv_id", "leaf").join(told, "leaf").drop("leaf")

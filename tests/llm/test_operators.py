@@ -635,6 +635,13 @@ def test_chat_round_trip(spark):
             seen = {x for s in n.attends_to for x in range(s.start, s.end)}
             assert n.position == sum(b.length for b in before) and seen == {x for b in before for x in range(b.start, b.start + b.length)}
             before.append(n)
+    # what is read back comes from the stream: other starts, positions or intervals give other results, or an error
+    for column, wrong in (("position", F.col("position") + F.when(F.col("depth") == 1, 1).otherwise(0)), ("start", F.col("start") + 1), ("attends_to", F.slice("attends_to", F.lit(1), F.greatest(F.size("attends_to") - 1, F.lit(0))))):
+        try:
+            bad = {r.conv_id: r for r in chat.read_back(nodes.withColumn(column, wrong), index, BYTES).collect()}
+        except Exception:
+            continue
+        assert bad != got, column
     none = chat.format_tree(empty(df), BYTES)
     assert none[0].count() == 0 and chat.read_back(*none, BYTES).count() == 0
 
