@@ -102,52 +102,51 @@ def format_tree(conversations: DataFrame, tokenizer: str, conv_id: str = "conv_i
     ends = ordered.groupBy("part").agg(F.max("path").alias("end"))
     before = ends.select("part", F.lag("end").over(Window.orderBy("part")).alias("end"))  # a row for each partition
     by_path = Window.partitionBy("part").orderBy("path")
-    with_last = ordered.withColumn("last", F.lag("path").over(by_path)).withColumn("ordinal", F.row_number().over(by_path)).join(F.broadcast(before), "part")
+    with_last = ordered.withColumn("last", F.lag("path").over(by_path)).join(F.broadcast(before), "part")
     with_last = with_last.withColumn("last", F.coalesce("last", "end", F.lit(b"")))
-    schema = T.StructType([*(T.StructField(c, T.BinaryType()) for c in ("leaf", "node")), *(T.StructField(c, T.IntegerType()) for c in ("part", "ordinal", "shared", "depth")), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("loss", T.BinaryType())])
+    schema = T.StructType([*(T.StructField(c, T.BinaryType()) for c in ("leaf", "node")), *(T.StructField(c, T.IntegerType()) for c in ("part", "shared", "depth")), T.StructField("offset", T.LongType()), T.StructField("within", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("loss", T.BinaryType())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = byte_level(tokenizer)
+        coder, at_part, within = byte_level(tokenizer), None, 0  # a partition's rows come in one task, in order
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
                 rows, strings = [], []
-                for leaf, path, last, part, ordinal, turns in zip(*(batch.column(c).to_pylist() for c in ("leaf", "path", "last", "part", "ordinal", "turns")), strict=True):
+                for leaf, path, last, part, turns in zip(*(batch.column(c).to_pylist() for c in ("leaf", "path", "last", "part", "turns")), strict=True):
                     shared = next((i for i in range(len(path) // NODE) if path[i * NODE : i * NODE + NODE] != last[i * NODE : i * NODE + NODE]), len(path) // NODE)
                     for i in range(shared, len(turns)):
                         t = turns[i]
-                        rows.append((leaf, path[i * NODE : (i + 1) * NODE], part, ordinal, shared, i, t["role"] == "assistant"))
+                        rows.append((leaf, path[i * NODE : (i + 1) * NODE], part, shared, i, t["role"] == "assistant"))
                         strings += [HEAD + guard(t["role"]) + MIDDLE, guard(t["text"]), FOOT]
                 if not rows:
                     continue
                 ids, bounds = coder.encode(pa.array(strings, pa.large_string()))
                 out, offset, leaf = [], 0, None
-                for n, (own, node, part, ordinal, shared, depth, said) in enumerate(rows):
+                for n, (own, node, part, shared, depth, said) in enumerate(rows):
                     a, b, c, d = bounds[3 * n : 3 * n + 4].tolist()
                     offset = 0 if own != leaf else offset
                     leaf = own
-                    out.append((own, node, part, ordinal, shared, depth, offset, d - a, ids[a:d].astype("<u4").tobytes(), bytes(b - a) + (b"\1" if said else b"\0") * (c - b) + bytes(d - c)))
+                    within = 0 if part != at_part else within
+                    at_part = part
+                    out.append((own, node, part, shared, depth, offset, within, d - a, ids[a:d].astype("<u4").tobytes(), bytes(b - a) + (b"\1" if said else b"\0") * (c - b) + bytes(d - c)))
                     offset += d - a
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(),) * 2 + (pa.int32(),) * 4 + (pa.int64(),) * 2 + (pa.binary(),) * 2, strict=True)], names=schema.names)
+                    within += d - a
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(),) * 2 + (pa.int32(),) * 3 + (pa.int64(),) * 3 + (pa.binary(),) * 2, strict=True)], names=schema.names)
 
     emitted = saved(with_last.mapInArrow(emit, schema), "nodes")
-    # starts: sums within a partition by path, and of the partitions before
-    runs = emitted.groupBy("part", "ordinal", "leaf", "shared").agg(F.sum("length").alias("n"))
-    by_place = Window.partitionBy("part").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    totals = runs.groupBy("part").agg(F.sum("n").alias("n"))
-    offsets = totals.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    starts = runs.withColumn("within", F.sum("n").over(by_place) - F.col("n")).join(F.broadcast(offsets), "part")
-    starts = saved(starts.select("leaf", "shared", (F.col("base") + F.col("within")).alias("begin")), "starts")
-    placed = emitted.join(starts.select("leaf", "begin"), "leaf").withColumn("start", F.col("begin") + F.col("offset"))
+    # starts: places in a partition, and the sums of the partitions before
+    totals = emitted.groupBy("part").agg(F.sum("length").alias("n"))
+    offsets = totals.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))  # a row for each partition
+    placed = emitted.join(F.broadcast(offsets), "part").withColumn("start", F.col("base") + F.col("within")).withColumn("begin", F.col("start") - F.col("offset"))
     # the ancestors that a leaf shares, from wherever they were emitted
-    shared = starts.where("shared > 0").join(ordered.select("leaf", "path"), "leaf").select("leaf", F.explode(F.transform(F.sequence(F.lit(0), F.col("shared") - 1), lambda i: F.substring(F.col("path"), i * NODE + 1, F.lit(NODE)))).alias("node"))
+    shared = emitted.where("shared > 0 AND offset = 0").select("leaf", "shared").join(ordered.select("leaf", "path"), "leaf").select("leaf", F.explode(F.transform(F.sequence(F.lit(0), F.col("shared") - 1), lambda i: F.substring(F.col("path"), i * NODE + 1, F.lit(NODE)))).alias("node"))
     spans = shared.join(placed.select("node", "start", "length"), "node").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("length")).alias("end")))).alias("spans"))
     spans = spans.select("leaf", _touching(F.col("spans")).alias("spans"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("above"))
     joined = placed.join(spans, "leaf", "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     own = F.when(F.col("offset") > 0, F.array(F.struct(F.col("begin").alias("start"), F.col("start").alias("end")))).otherwise(none)
     nodes = joined.select("node", "depth", "start", "length", (F.coalesce("above", F.lit(0)) + F.col("offset")).alias("position"), _touching(F.concat(F.coalesce("spans", none), own)).alias("attends_to"), "ids", "loss")
-    return nodes, every.select("conv_id", "leaf", "path")
+    return saved(nodes, "tree"), every.select("conv_id", "leaf", "path")
 
 
 def _touching(spans):
