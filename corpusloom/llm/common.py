@@ -222,18 +222,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
 #: Spark's setting by which a query's shuffle files go when it ends, and not when the driver collects its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Spark's setting of rows that go to a Python worker at once, and ours while a step is written: a few MB of texts.
+BATCH, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1500
+
 
 def saved(df: DataFrame, name: str = "t") -> DataFrame:
     """df written as a table in the shared folder and read again: its lineage is cut, and it outlives executors. The
-    shuffle files of the query that wrote it go."""
+    shuffle files of the query that wrote it go, and texts go to Python workers in small batches."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/corpusloom-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    rows = spark.conf.get(BATCH, None)
+    ours = {CLEANUP: "true", BATCH: str(min(int(rows or MOST_ROWS), MOST_ROWS))}
+    before = {key: spark.conf.get(key, None) for key in ours}
+    for key, value in ours.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     return spark.read.schema(df.schema).parquet(path)
 
 

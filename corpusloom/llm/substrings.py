@@ -43,7 +43,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 TILE = 256
 #: Entries that a bucket of hashes should have, rows that a task packs at once, bytes of text for a bucket of ids.
-BUCKET, ROWS, ID_BUCKET = 1 << 20, 1 << 19, 1 << 27
+BUCKET, ROWS, ID_BUCKET = 1 << 19, 1 << 18, 1 << 27
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +181,7 @@ def unpacked(value: bytes, size: int, kind: pa.DataType) -> tuple[pa.Array, list
     return ids, found[:n_rows], found[n_rows:]
 
 
-def links(df: DataFrame, doc_id: str, text: str, k: int, window: int = 1, block_bytes: int = 4 << 20) -> DataFrame:
+def links(df: DataFrame, doc_id: str, text: str, k: int, window: int = 1, block_bytes: int = 5 << 19) -> DataFrame:
     """(id, other, at, there, h), parted by id: places (as numbered() has them) of seeds that two documents hold or more, with the
     first document that holds the seed, or the first one of the same block, and its place there. `other` is the
     document itself where it is the first."""
@@ -224,6 +224,7 @@ def links(df: DataFrame, doc_id: str, text: str, k: int, window: int = 1, block_
                     x, y = x[order], y[order]
                     turn += 1
                     out.append((turn * 0x9E3779B1 % (1 << bucket_bits), True, *packed(ids, [row[x], row[y]], [at[x], at[y], h[x]])))
+                del both, head, later, new
                 order = np.flatnonzero(stays)
                 cuts = np.searchsorted(h[order], np.arange((1 << bucket_bits) + 1, dtype=np.uint64) << np.uint64(hash_bits - bucket_bits))
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
@@ -276,6 +277,7 @@ def links(df: DataFrame, doc_id: str, text: str, k: int, window: int = 1, block_
                     flag, at, rank = at % 2 == 1, at // 2, ranks(ids)
                     order = np.argsort(h, kind="stable")
                     row, h, at, flag = row[order], h[order], at[order], flag[order]
+                    del order
                     both = by_holder(shared_groups(h, flag), h, rank[row], at)  # a flagged hash is shared though its entry is the only one
                     if len(both):
                         new = np.append(True, h[both[1:]] != h[both[:-1]])
@@ -534,7 +536,7 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for i, j in blocks(buffers(batch.column("text"))[1], 4 << 20):
+            for i, j in blocks(buffers(batch.column("text"))[1], 2 << 20):
                 codes, first = words_of(batch.column("text").slice(i, j - i))
                 row, number, raw = [], [], []
                 for r in range(j - i):
@@ -574,7 +576,7 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
                 yield pa.RecordBatch.from_arrays([rows.column("id").combine_chunks().take(take), rows.column("other").combine_chunks().take(take), *(pa.array([o[c] for o in out], pa.int32()) for c in range(4))], names=part.names)
 
     exact = exact_parts(found.where("g IS NOT NULL").select("g", "id", "lo", "hi"), min_words)
-    parts = heads.union(lines.select(heads.columns)).repartition(*keys).sortWithinPartitions(*order, "side", "tile").mapInArrow(aligned, part).unionByName(exact)
+    parts = heads.union(lines.select(heads.columns)).repartition(*keys).sortWithinPartitions(*order, "side", "tile").mapInArrow(tidy(aligned), part).unionByName(exact)
     whole = T.StructType([T.StructField(doc_id, kind), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("first_ids", T.ArrayType(kind)), T.StructField("similarity", T.DoubleType())])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -596,7 +598,7 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
             if at:
                 yield pa.RecordBatch.from_arrays([rows.column("id").combine_chunks().take(pa.array(at)), *(pa.array([o[c] for o in out], pa.int32()) for c in (0, 1)), pa.array([o[2] for o in out], pa.list_(rows.schema.field("id").type)), pa.array([o[3] for o in out], pa.float64())], names=whole.names)
 
-    return parts.repartition("id").sortWithinPartitions("id", "start", "end", "other").mapInArrow(merged, whole)
+    return saved(parts.repartition("id").sortWithinPartitions("id", "start", "end", "other").mapInArrow(tidy(merged), whole), "passages")
 
 
 def without(df: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -630,4 +632,4 @@ def without(df: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str =
             out = [pa.array(texts, pa.string()) if texts is not None and i == at else batch.column(c) for i, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(keep))
 
-    return joined.mapInArrow(run, df.schema).unionByName(marked.where(~F.col(hit)).select(*names))
+    return joined.mapInArrow(tidy(run), df.schema).unionByName(marked.where(~F.col(hit)).select(*names))
