@@ -168,6 +168,18 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
             yield out, np.append(np.flatnonzero(change), out.num_rows)
 
 
+def thick(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Batches of narrow rows put together to so many rows, so that little is done for each batch."""
+    held, n = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if held and (batch is None or n >= rows):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+
+
 def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For each of n nodes the least node that it is linked with, over any number of links (a, b)."""
     label = np.arange(n)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Bitmap, blocks, buffers, fresh, mix, saved, tidy, whole_groups, word_hashes, word_spans
+from .common import Bitmap, blocks, buffers, fresh, mix, saved, thick, tidy, whole_groups, word_hashes, word_spans
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -481,7 +481,7 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chains, and the runs that the exact route may need (g not null, lo their start; hi is 1 if the document is the
         first one with each seed of the run, and 0 else)."""
-        for rows, bounds in whole_groups(batches, ["id"]):
+        for rows, bounds in whole_groups(thick(batches), ["id"]):
             at, there, ids, others, h = rows.column("at").to_numpy(), rows.column("there").to_numpy(), rows.column("id").combine_chunks(), rows.column("other").combine_chunks(), rows.column("h").to_numpy().view(np.uint64)
             xs, ys = at // 2, there // 2
             self_first = np.asarray(pc.equal(ids, others))
@@ -580,7 +580,7 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     whole = T.StructType([T.StructField(doc_id, kind), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("first_ids", T.ArrayType(kind)), T.StructField("similarity", T.DoubleType())])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, bounds in whole_groups(batches, ["id"]):
+        for rows, bounds in whole_groups(thick(batches), ["id"]):
             start, end, same, size = (rows.column(c).to_numpy() for c in ("start", "end", "same", "size"))
             other = rows.column("other").to_pylist()
             at, out = [], []
