@@ -1,20 +1,21 @@
 """Toxicity by weak supervision.
 
-Voters: a fixed lexicon, words and word beginnings mined from labelled rows of the fitting folds, and patterns (shouted
-words, runs of exclamation marks). A generative label model treats the true class as hidden. Voters whose votes
-correlate by more than `correlated` beyond the class are one factor that votes once; the others are independent given
-the class. Expectation maximisation estimates the balance among texts without a vote and each factor's two firing
-rates (its accuracies), starting from the labels. Its posteriors, not the labels, are the targets of a logistic regression over the presence
-of mined words and word beginnings, which scores every whole text.
+Voters: a fixed lexicon, words and word beginnings mined from labelled rows of the fitting folds for either class, and
+patterns (shouted words, runs of exclamation marks). A generative label model (LabelModel) treats the true class as
+hidden: it estimates each voter's rates of firing in both classes and the correlations of voters in each class, along a
+forest of the strongest. It starts from the votes' majority; labels only choose the voters. Its posteriors, not the
+labels, are the targets of a logistic regression over the presence of mined words and word beginnings, which scores
+every whole text.
 
 Fitted on a bounded sample (documented): about `fit_rows` labelled rows that a hash of the id picks. Of near copies in
 the sample, which share their two least word hashes, one is used, so a copied text doesn't make its words evidence.
-At most `most_features` are mined, each right in `precision` of its rows and
-beyond chance given how many were tried. Scoring covers all rows.
+At most `most_features` are mined, each right in `precision` of its rows and beyond chance given how many were tried;
+`most_voters` of them and the lexicon vote. Scoring covers all rows.
 
 Words are runs of ASCII letters, digits and bytes over 0x7F of the lower-cased text. Edge cases: a null or empty text
 has the score of a text without evidence; labels that are null, or for ids without a text, are left out; several
-labels of one id count as the largest; without any label of one of the classes the fixed lexicon alone decides.
+labels of one id count as the largest; without any label of one of the classes, or without any vote, the fixed lexicon
+alone decides.
 """
 
 from __future__ import annotations
@@ -93,52 +94,103 @@ def distinct(where: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class LabelModel:
-    """Posterior of the hidden class from binary votes with class-conditional firing rates, votes pooled by factor."""
-
-    def __init__(self, rows: np.ndarray, voters: np.ndarray, n: int, n_voters: int, start: np.ndarray, correlated: float = 0.5):
-        self.factor = self._factors(rows, voters, n, n_voters, start, correlated)
-        rows, factors = distinct(rows, self.factor[voters])
-        k = int(self.factor.max()) + 1 if n_voters else 0
-        p = np.clip(start.astype(float), 0.02, 0.98)
-        silent = np.bincount(rows, minlength=n) == 0
-        for _ in range(50):
-            self.base = np.log((p[silent].sum() + 0.5) / ((1 - p[silent]).sum() + 0.5))
-            up = np.bincount(factors, p[rows], k)
-            self.rate1 = np.clip((up + 0.1) / (p.sum() + 1), 1e-6, 0.999)
-            self.rate0 = np.clip((np.bincount(factors, 1 - p[rows], k) + 0.01) / ((1 - p).sum() + 1), 1e-6, 0.999)
-            q = self.posterior(rows, factors, n)
-            if np.abs(q - p).max() < 1e-4:
-                break
-            p = q
-        self.p = p
-
-    @staticmethod
-    def _factors(rows, voters, n, n_voters, start, correlated) -> np.ndarray:
-        """Voters joined while their correlation, given the starting class, is above the limit."""
-        parent = np.arange(n_voters)
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = int(parent[x])
-            return x
-
-        inside = start[rows] > 0.5
-        fires = np.zeros((n_voters, int((start > 0.5).sum())), np.float32)
-        column = np.cumsum(start > 0.5) - 1
-        fires[voters[inside], column[rows[inside]]] = 1
-        fires -= fires.mean(1, keepdims=True) if fires.shape[1] else 0
-        scale = np.sqrt((fires**2).sum(1)) + 1e-9
-        for i in range(n_voters):
-            near = (fires[i + 1 :] @ fires[i]) / (scale[i + 1 :] * scale[i])
-            for j in np.flatnonzero(near > correlated):
-                parent[root(int(i + 1 + j))] = root(i)
-        return np.unique([root(i) for i in range(n_voters)], return_inverse=True)[1] if n_voters else np.zeros(0, int)
-
-    def posterior(self, rows: np.ndarray, factors: np.ndarray, n: int) -> np.ndarray:
-        """Votes speak when they fire; a voter that abstains says nothing, as most abstain for a text's language."""
-        weight = np.log(self.rate1 / self.rate0)
-        return 1 / (1 + np.exp(-np.clip(self.base + np.bincount(rows, weight[factors], n), -50, 50)))
+    """A generative model of votes with a hidden class, as a forest: given the class, a voter fires at a rate that depends
+    on the vote of at most one other voter, its parent. Parameters are the class's share, each voter's rate of firing in
+    each class (its accuracy), and on each edge its rates given that the parent fires or abstains (their correlation in
+    each class). Edges are the maximum spanning forest of the pairs' information given the class, as far as it exceeds
+    chance among all pairs; expectation maximisation fits the rest. It starts from the votes' majority, without labels.
+    Alone, it would part texts by any strong pattern, such as how many voters fire. The prior keeps the classes' meaning:
+    a voter is right in `accuracy` of its votes, alone or beside its parent's, with `belief` times its own votes' weight.
+
+    Abstaining is evidence inside a tree of which a voter fires, and of all trees in a text without any vote. In a text
+    with votes, trees without one say nothing: they are mostly another language's.
+
+    votes: texts by voters, true where a voter fires; sides: the class, 1 or 0, that each voter speaks for."""
+
+    def __init__(self, votes: np.ndarray, sides: np.ndarray, accuracy: float = 0.97, belief: float = 1.0, rounds: int = 60, structures: int = 2, chance: float = 0.05):
+        rows, self.pattern, count = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+        self.pattern, v, self.chance = self.pattern.ravel(), rows.astype(np.float64), chance
+        self.right = np.stack([np.where(sides > 0, 1 - accuracy, accuracy), np.where(sides > 0, accuracy, 1 - accuracy)])
+        self.belief = belief
+        lead = v @ np.where(sides > 0, 1.0, -1.0)
+        p = np.where(lead > 0, 0.95, np.where(lead < 0, 0.02, 0.1))
+        for tree in range(structures + 1):
+            # at first voters are taken as independent, so that the classes' own traces aren't taken for correlations
+            self.parent = self._forest(v, np.stack([count * (1 - p), count * p])) if tree else np.arange(v.shape[1])
+            top = self.parent
+            while (top[top] != top).any():
+                top = top[top]
+            self.tree = (top[:, None] == np.unique(top)).astype(np.float64)  # voters by trees
+            for _ in range(rounds):
+                self._rates(v, np.stack([count * (1 - p), count * p]))
+                before, p = p, self.posterior(v)
+                if np.abs(p - before).max() < 1e-5:
+                    break
+        self.p = p[self.pattern]
+
+    def _forest(self, v: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The parent of each voter, itself for a root."""
+        m = v.shape[1]
+        g = np.zeros((m, m))
+        for w in weights:
+            both, one, n = (v * w[:, None]).T @ v, w @ v, w.sum()
+            for cell, a, b in (
+                (both, one[:, None], one),
+                (one[:, None] - both, one[:, None], n - one),
+                (one - both, n - one[:, None], one),
+                (n - one[:, None] - one + both, n - one[:, None], n - one),
+            ):
+                cell = np.maximum(cell, 0)
+                g += 2 * cell * np.log(np.where(cell > 0, cell * n, 1) / np.where(cell > 0, np.maximum(a * b, 1e-300), 1))
+        i, j = np.triu_indices(m, 1)
+        g = g[i, j]
+        good = np.flatnonzero(g > 2 * np.log(max(1, len(g)) / self.chance))  # the chi-square's tail with two degrees
+        near: list[list[int]] = [[] for _ in range(m)]
+        tree = np.arange(m)
+        for e in good[np.argsort(-g[good], kind="stable")]:
+            a, b = int(i[e]), int(j[e])
+            if tree[a] != tree[b]:
+                tree[tree == tree[b]] = tree[a]
+                near[a].append(b)
+                near[b].append(a)
+        parent, seen = np.arange(m), np.zeros(m, bool)
+        for root in range(m):
+            todo = [] if seen[root] else [root]
+            seen[root] = True
+            while todo:
+                x = todo.pop()
+                for y in near[x]:
+                    if not seen[y]:
+                        seen[y], parent[y] = True, x
+                        todo.append(y)
+        return parent
+
+    def _rates(self, v: np.ndarray, weights: np.ndarray) -> None:
+        """self.share of class 1; self.rate[class, voter]; self.given[class, parent's vote, voter]. A root's are its rate."""
+        n = weights.sum(1)
+        self.share = (n[1] + 0.5) / (n.sum() + 1)
+        fires, joint = (self._believed(x, r) for x, r in ((weights @ v, self.right), (weights @ (v * v[:, self.parent]), (self.right + self.right[:, self.parent]) / 2)))
+        self.rate = np.clip((fires + 0.05) / (n[:, None] + 1), 1e-6, 1 - 1e-6)
+        up = fires[:, self.parent]
+        alone, beside = (fires - joint, n[:, None] - up), (joint, up)
+        given = np.stack([(a + (a.sum(0) + 0.05) / (of.sum(0) + 0.1)) / (of + 1) for a, of in (alone, beside)], 1)
+        root = self.parent == np.arange(len(self.parent))
+        self.given = np.clip(np.where(root, self.rate[:, None], given), 1e-6, 1 - 1e-6)
+
+    def _believed(self, counts: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Counts by class, with the prior's: all of a voter's votes, parted by its prior accuracy."""
+        return (counts + self.belief * counts.sum(0) * right) / (1 + self.belief)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """The probability of class 1 of each text."""
+        v = votes.astype(np.float64)
+        fired = np.log(self.given[1] / self.given[0])
+        silent = np.log((1 - self.given[1]) / (1 - self.given[0]))
+        up = v[:, self.parent]
+        shown = np.where(v.any(1)[:, None], v @ self.tree > 0, True)
+        odds = np.log(self.share / (1 - self.share)) + shown @ (silent[0] @ self.tree)
+        odds = odds + v @ (fired - silent)[0] + up @ (silent[1] - silent[0]) + (v * up) @ ((fired - silent)[1] - (fired - silent)[0])
+        return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
 class Model:
@@ -172,7 +224,7 @@ def logistic(rows: np.ndarray, codes: np.ndarray, target: np.ndarray, k: int, ri
     return w[:k], float(w[k])
 
 
-def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = 20_000, most_features: int = 4096, correlated: float = 0.5, precision: float = 0.97) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = 20_000, most_features: int = 4096, most_voters: int = 512, precision: float = 0.97) -> Model:
     """The model of `labels` (doc_id, label 0 or 1) over the texts of `documents`."""
     labels = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     share = fit_rows / max(1, labels.count())
@@ -212,14 +264,19 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     if not size.get(1) or not size.get(0):
         return lexicon_model()
     rate = size[1] / (size[0] + size[1])
-    total = one.select("text", "y").mapInArrow(counted, seen).groupBy("h").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(f"n1 >= 3 AND n1 >= {precision} * (n1 + n0)")
+    total = one.select("text", "y").mapInArrow(counted, seen).groupBy("h").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(f"greatest(n1, n0) >= 3 AND greatest(n1, n0) >= {precision} * (n1 + n0)")
     # evidence against chance: the log-likelihood ratio of the counts, which has to outweigh how many were tried
     both = F.col("n1") + F.col("n0")
-    total = saved(total.withColumn("gain", F.col("n1") * F.log(F.col("n1") / (both * rate)) + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (both * (1 - rate)))).otherwise(0)), "toxicity")
-    mined = total.where(F.col("gain") > float(np.log(max(1, total.count())) + 4)).orderBy(F.desc("gain"), "h").limit(most_features).collect()
+    gain = sum(F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * r))).otherwise(0) for c, r in (("n1", rate), ("n0", 1 - rate)))
+    # a voter's side is the class that it is found in more often than the class's share, not just more often
+    total = total.withColumn("gain", gain).withColumn("side", (F.col("n1") >= precision * both).cast("int")).where(F.when(F.col("side") == 1, F.lit(True)).otherwise(F.col("n0") > both * (1 - rate)))
+    total = saved(total, "toxicity")
+    tried = {r["side"]: r["n"] for r in total.groupBy("side").agg(F.count("*").alias("n")).collect()}
+    beyond = F.col("gain") > F.when(F.col("side") == 1, float(np.log(max(1, tried.get(1, 0))) + 4)).otherwise(float(np.log(max(1, tried.get(0, 0))) + 4))
+    mined = total.where(beyond).orderBy(F.desc("gain"), "h").limit(most_features).collect()
     lexicon = {int(hash_of(x).view(np.int64)) for x in LEXICON}
     hashes = np.sort(np.array([*{r["h"] for r in mined} | lexicon], np.int64).view(np.uint64))
-    voter = {r["h"] for r in mined[:512]} | lexicon
+    voter = {r["h"]: r["side"] for r in mined[:most_voters]} | dict.fromkeys(lexicon, 1)
     votes = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("codes", T.ArrayType(T.IntegerType()))])
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,14 +288,17 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays([batch.column("y").slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes, pa.int32()))], names=["y", "codes"])
 
     rows = one.select("text", "y").mapInArrow(voted, votes).collect()  # as many as the sample's rows
-    rows.sort(key=lambda r: (r["y"], r["codes"]))
-    y = np.array([r["y"] for r in rows], float)
+    rows.sort(key=lambda r: r["codes"])
     at = np.repeat(np.arange(len(rows)), [len(r["codes"]) for r in rows])
     codes = np.array([c for r in rows for c in r["codes"]], np.int64)
-    is_voter = np.array([int(h) in voter for h in hashes.view(np.int64)])
-    number = np.cumsum(is_voter) - 1
-    votes_at = is_voter[codes]
-    posterior = LabelModel(at[votes_at], number[codes[votes_at]], len(rows), int(is_voter.sum()), y, correlated).p
+    numbers = np.array([int(h) in voter for h in hashes.view(np.int64)])
+    sides = np.array([voter[int(h)] for h in hashes.view(np.int64)[numbers]])
+    cast = np.zeros((len(rows), len(sides)), bool)  # at most about fit_rows by most_voters and the lexicon
+    votes_at = numbers[codes]
+    cast[at[votes_at], (np.cumsum(numbers) - 1)[codes[votes_at]]] = True
+    if not cast.any():
+        return lexicon_model()
+    posterior = LabelModel(cast, sides).p
     weights, bias = logistic(at, codes, posterior, len(hashes))
     return Model(hashes, weights, bias)
 

@@ -267,6 +267,63 @@ def test_toxicity_edge_cases(spark):
     assert [r.predicted for r in toxicity.score(told, model).orderBy("doc_id").collect()] == [1, 0]
 
 
+def simulated_votes(n=6000, seed=4):
+    """Classes and votes of voters with known rates: 0 to 4 speak for class 1, 5 mostly repeats 4, 6 speaks for class 0."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < 0.3
+    rates = np.array([[0.01, 0.5], [0.02, 0.4], [0.03, 0.6], [0.01, 0.3], [0.02, 0.5], [0, 0], [0.6, 0.02]])
+    votes = rng.random((n, 7)) < rates.T[y.astype(int)]
+    votes[:, 5] = np.where(votes[:, 4], rng.random(n) < 0.95, rng.random(n) < 0.002)
+    return y, votes, rates, np.array([1, 1, 1, 1, 1, 1, 0])
+
+
+def test_label_model_finds_rates_and_correlations_without_labels():
+    y, votes, rates, sides = simulated_votes()
+    model = toxicity.LabelModel(votes, sides)
+    edges = {frozenset((j, int(p))) for j, p in enumerate(model.parent) if p != j}
+    # texts taken for the wrong class make voters of the two sides look dependent, those of one side not
+    assert frozenset((4, 5)) in edges and not [e for e in edges if e <= {0, 1, 2, 3, 4}]
+    own = [0, 1, 2, 3, 4, 6]
+    assert np.abs(model.rate.T - rates)[own].max() < 0.06 and abs(model.share - 0.3) < 0.06
+    pair = 5 if model.parent[5] == 4 else 4
+    assert (model.given[1, 1, pair] > 0.9) and (model.given[1, 0, pair] < 0.1)
+    lead = votes @ np.where(sides > 0, 1, -1) > 0
+    assert ((model.p > 0.5) == y).mean() >= max(0.93, (lead == y).mean())
+    # a repeated voter counts as hardly more than one
+    one, two = np.zeros((1, 7), bool), np.zeros((1, 7), bool)
+    one[0, 4], two[0, [4, 5]] = True, True
+    odds = [float(np.log(p / (1 - p))) for p in (model.posterior(one)[0], model.posterior(two)[0])]
+    alone = np.log(model.rate[1, 5] / model.rate[0, 5])
+    assert odds[1] - odds[0] < 0.5 * alone + np.log(20)
+
+
+def test_label_model_posteriors_against_brute_force():
+    _, votes, _, sides = simulated_votes(400, 8)
+    model = toxicity.LabelModel(votes, sides)
+    m = votes.shape[1]
+
+    def top(j):
+        while model.parent[j] != j:
+            j = model.parent[j]
+        return j
+
+    for row, got in zip(votes[:60], model.posterior(votes[:60]), strict=True):
+        fired = {top(j) for j in range(m) if row[j]}
+        like = [1 - model.share, model.share]
+        for c in (0, 1):
+            for j in range(m):
+                if not fired or top(j) in fired:
+                    rate = model.given[c, int(row[model.parent[j]]), j]
+                    like[c] *= rate if row[j] else 1 - rate
+        assert abs(like[1] / sum(like) - got) < 1e-9
+
+
+def test_label_model_without_votes_or_voters():
+    for shape in ((5, 0), (5, 3), (1, 1)):
+        model = toxicity.LabelModel(np.zeros(shape, bool), np.ones(shape[1], int))
+        assert len(model.p) == shape[0] and ((0 <= model.p) & (model.p < 0.5)).all()
+
+
 # 8: SimHash
 
 
