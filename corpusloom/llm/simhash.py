@@ -7,10 +7,15 @@ run; a text without words, or null, has fingerprint zero, which is linked like a
 Links. Equal fingerprints are one class (pre-aggregated to the least id). A distinct fingerprint is embedded as the
 bit counts of its 32 segments of two bits. Flipping a bit moves one count by one, so the Manhattan distance of two
 embeddings is a lower bound of the differing bits. Each count is kept in unary (00, 01, 11), so that distance is the bit
-count of an exclusive or. The embeddings lie on a grid, range-joined by blocks: the 32 axes are cut into six blocks, and
-embeddings at distance two or less agree on at least four, so each is entered in the 15 cells that four blocks name, and
-partners are looked up in equal cells. Pairs are taken in the first cell they share, filtered by the lower bound and
-verified on the fingerprints. All of it is built-in expressions and equi-joins; no cell is capped.
+count of an exclusive or, and a step of one along an axis flips one bit.
+
+The embeddings are range-joined on three grids. The axes are cut into three thirds, and a grid's coordinates are the
+counts of two of them. Of a distance of at most two, the two thirds that have least of it have one at most, so in some
+grid both lie in one cell or in neighbouring cells, one step apart. Each embedding is entered in its own cell of each
+grid and looks up that cell and the neighbours. A step changes the sum of the coordinates by one, so of two neighbours
+one is odd; only the odd one looks at its neighbours, and each pair comes up once. It is taken in the first grid that
+has it, filtered by the lower bound over all axes and verified on the fingerprints. All of it is built-in expressions
+and equi-joins; no cell is capped.
 
 Components are those of the links between class representatives (common.components). Edge cases: empty tables give
 empty results; rows with a null id get the fingerprint and a null component; repeated rows are one class.
@@ -19,7 +24,6 @@ empty results; rows with a null id get the fingerprint and a null component; rep
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +36,16 @@ from .common import blocks, buffers, components, run_lengths, saved, tidy, word_
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-#: Axes of each of the six blocks of the grid, two bits an axis.
-_BLOCKS = [range(0, 6), range(6, 12), range(12, 17), range(17, 22), range(22, 27), range(27, 32)]
+#: The thirds of the 32 axes, two bits an axis.
+_THIRDS = [range(0, 11), range(11, 22), range(22, 32)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-#: The cells' masks: all choices of four blocks.
-MASKS = [_signed(sum(3 << (2 * axis) for block in four for axis in block)) for four in combinations(_BLOCKS, 4)]
+#: Each grid's mask: all axes but those of a third.
+MASKS = [_signed(sum(3 << (2 * axis) for third in _THIRDS if third is not left for axis in third)) for left in _THIRDS]
 _LOW = 0x5555555555555555
 
 
@@ -95,17 +99,28 @@ def unary_counts(bits):
     return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
+def neighbours(cell, mask: int):
+    """The cells one step from a cell of the grid with this mask. Counts go from 0 to 2, so 10 is no count."""
+    steps = [_signed(1 << i) for i in range(64) if mask >> i & 1]
+    tried = F.transform(F.array(*(F.lit(s) for s in steps)), cell.bitwiseXOR)
+    return F.filter(tried, lambda x: F.shiftrightunsigned(x, 1).bitwiseAND(F.bitwise_not(x)).bitwiseAND(F.lit(_LOW)) == 0)
+
+
 def links(fingerprints: DataFrame, bits: str = "fingerprint", most: int = 2) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints that differ in at most two bits."""
     if not 0 <= most <= 2:
-        raise ValueError("four of six blocks agree only for up to two differing bits")
-    one = fingerprints.select(F.col(bits).alias("x")).distinct().withColumn("u", unary_counts(F.col("x")))
-    cells = one.select("x", "u", F.posexplode(F.array(*(F.col("u").bitwiseAND(F.lit(m)) for m in MASKS))).alias("grid", "cell"))
-    a, b = (cells.select("grid", "cell", F.col("x").alias(k), F.col("u").alias("u" + k)) for k in "ab")
-    apart = F.col("ua").bitwiseXOR(F.col("ub"))
-    first = F.coalesce(*(F.when(apart.bitwiseAND(F.lit(m)) == 0, k) for k, m in enumerate(MASKS)))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(apart) <= most) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most) & (F.col("grid") == first)
-    return a.join(b, ["grid", "cell"]).where(near).select("a", "b")
+        raise ValueError("two thirds of the axes hold at most one step only for up to two differing bits")
+    one = fingerprints.select(F.col(bits).alias("x")).where(F.col(bits).isNotNull()).distinct()
+    own = [unary_counts(F.col("x")).bitwiseAND(F.lit(m)) for m in MASKS]
+    homes = one.select(F.col("x").alias("a"), F.posexplode(F.array(*own)).alias("grid", "cell"))
+    looked = [F.when(F.bit_count(c) % 2 == 1, F.concat(F.array(c), neighbours(c, m))).otherwise(F.array(c)) for c, m in zip(own, MASKS, strict=True)]
+    looks = one.select(F.col("x").alias("b"), F.posexplode(F.array(*looked)).alias("grid", "cells")).select("b", "grid", F.explode("cells").alias("cell"))
+    apart = unary_counts(F.col("a")).bitwiseXOR(unary_counts(F.col("b")))
+    steps = [F.bit_count(apart.bitwiseAND(F.lit(m))) for m in MASKS]
+    first = F.coalesce(*(F.when(n <= 1, k) for k, n in enumerate(steps)))
+    once = (F.col("a") < F.col("b")) | (F.col("a") != F.col("b")) & (F.element_at(F.array(*steps), F.col("grid") + 1) == 1)
+    near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most) & (F.bit_count(apart) <= most) & (first == F.col("grid")) & once
+    return homes.join(looks, ["grid", "cell"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

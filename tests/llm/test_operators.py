@@ -361,9 +361,10 @@ def test_fingerprint_links(spark):
     centres = [rng.getrandbits(64) for _ in range(30)]
     prints = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for c in centres for _ in range(25)} | {0, 1, 3, 7, (1 << 64) - 1}
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
-    got = {tuple(r) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fingerprint long")).collect()}
-    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2}
-    assert got == want
+    df = spark.createDataFrame([(x,) for x in [*signed, signed[0], None]], "fingerprint long")
+    for most in (2, 1, 0):
+        got = sorted(tuple(r) for r in simhash.links(df, most=most).collect())
+        assert got == sorted((a, b) for a in signed for b in signed if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= most)
     with pytest.raises(ValueError, match="two"):
         simhash.links(spark.createDataFrame([(1,)], "fingerprint long"), most=3)
 
