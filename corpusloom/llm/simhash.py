@@ -110,7 +110,9 @@ def links(fingerprints: DataFrame, bits: str = "fingerprint", most: int = 2) ->
     """Pairs (a, b), a < b, of distinct fingerprints that differ in at most two bits."""
     if not 0 <= most <= 2:
         raise ValueError("two thirds of the axes hold at most one step only for up to two differing bits")
-    one = fingerprints.select(F.col(bits).alias("x")).where(F.col(bits).isNotNull()).distinct()
+    # by number, so that small rows which make many cells each aren't put together into a few tasks
+    parts = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = fingerprints.select(F.col(bits).alias("x")).where(F.col(bits).isNotNull()).repartition(parts, "x").distinct()
     own = [unary_counts(F.col("x")).bitwiseAND(F.lit(m)) for m in MASKS]
     homes = one.select(F.col("x").alias("a"), F.posexplode(F.array(*own)).alias("grid", "cell"))
     looked = [F.when(F.bit_count(c) % 2 == 1, F.concat(F.array(c), neighbours(c, m))).otherwise(F.array(c)) for c, m in zip(own, MASKS, strict=True)]
