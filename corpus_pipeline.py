@@ -15,14 +15,25 @@ from corpusloom.llm.common import Bitmap, fresh, saved
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that fail the base rules or repeat themselves too much."""
+    """Rejects documents that fail the base rules or repeat themselves too much. A null or empty text has too few words
+    and goes; repeated rows and a null id are judged like any other."""
     return repetition.verdicts(docs).where("kept").select(docs.columns)
 
 
+#: Least score of a text that is in a known language. Of the texts of 50 words and more, none of 9,528 on sf0.1 is below
+#: it, and 5 of 15,000 on check_s, which mix two languages; of texts of random letters about 95 % are, of base64 all.
+LEAST_SCORE = 0.4
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language. A missing lang is filled with the predicted one."""
-    found = language.identify(docs, language.fit(docs.select("doc_id", "text", "lang")))
-    found = found.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred"))
+    """Rejects documents in no known language: without a letter, or with a score under LEAST_SCORE. A missing lang is
+    filled with the predicted one. Where no document has a lang, nothing is known to compare with, and only documents
+    without a letter go, a null text among them. Repeated rows and a null id are judged like any other."""
+    model = language.fit(docs.select("doc_id", "text", "lang"))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language.identify(docs, model)
+    found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.coalesce("lang", "lang_pred"))
     return found.select(docs.columns)
 
 

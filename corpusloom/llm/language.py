@@ -79,15 +79,17 @@ def shares(texts: pa.Array) -> np.ndarray:
     return (count / np.maximum(np.diff(bounds), 1)[:, None]).astype(np.float32)
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 30) -> np.ndarray:
-    """Weights of a linear support vector machine with squared hinge loss, by dual coordinate descent. y: -1 or 1."""
+def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 300) -> np.ndarray:
+    """Weights of a linear support vector machine with squared hinge loss, by dual coordinate descent. y: -1 or 1. Both
+    classes weigh the same, however many rows they have."""
     rng = np.random.default_rng(7)
-    norm = np.einsum("ij,ij->i", x, x) + 0.5 / c
+    slack = 0.5 / (c * len(y) / 2 / np.where(y > 0, max(1, (y > 0).sum()), max(1, (y < 0).sum())))
+    norm = np.einsum("ij,ij->i", x, x) + slack
     alpha, w = np.zeros(len(x)), np.zeros(x.shape[1], np.float64)
     for _ in range(epochs):
         largest = 0.0
         for i in rng.permutation(len(x)):
-            gradient = y[i] * float(x[i] @ w) - 1 + alpha[i] * 0.5 / c
+            gradient = y[i] * float(x[i] @ w) - 1 + alpha[i] * slack[i]
             step = max(alpha[i] - gradient / norm[i], 0) - alpha[i]
             if step:
                 alpha[i] += step
@@ -105,8 +107,10 @@ class Duels:
         self.classes = sorted({*labels})
         self.pairs = [*combinations(range(len(self.classes)), 2)]
         at = np.array([self.classes.index(c) for c in labels])
-        scale = 1 / (x.std(0) + 1e-4)
-        mean = x.mean(0) * scale
+        share = (1 / np.bincount(at)[at] / len(self.classes)).astype(np.float32)  # each class weighs the same
+        mean = share @ x
+        scale = 1 / (np.sqrt(share @ (x - mean) ** 2) + 1e-4)
+        mean = mean * scale
         weights, biases = [], []
         for a, b in self.pairs:
             rows = (at == a) | (at == b)

@@ -1,6 +1,7 @@
 """Each operator of the package against a brute-force version, an exact round trip or held-out accuracy, and with nulls,
 empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import base64
 import hashlib
 import inspect
 import random
@@ -234,6 +235,24 @@ def test_language_edge_cases(spark, small):
     assert language.identify(df, one).where("doc_id = 4").first()["lang_pred"] == "en"
 
 
+def test_machines_are_the_best_machines():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0.4, 1, (300, 6)), rng.normal(-0.4, 1, (40, 6))]).astype(np.float32)
+    y = np.repeat([1.0, -1.0], [300, 40])
+    w = language.svm(x, y, epochs=3000)
+    c = np.where(y > 0, 340 / 2 / 300, 340 / 2 / 40)  # both classes weigh the same
+
+    def cost(w):
+        return 0.5 * w @ w + (c * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+
+    direct = np.zeros(6)
+    for _ in range(20000):  # the cost itself, by plain steps downhill
+        direct -= 2e-4 * (direct - 2 * ((c * y * np.maximum(0, 1 - y * (x @ direct)))[:, None] * x).sum(0))
+    assert np.abs(w - direct).max() < 1e-3 and cost(w) <= cost(direct) + 1e-3
+    usual = language.svm(x, y)  # as many epochs as fit() takes
+    assert cost(usual) <= 1.02 * cost(direct)
+
+
 # 1: toxicity
 
 
@@ -757,6 +776,25 @@ def test_pipeline(spark, small):
         assert stage(spark, nothing, small).count() == 0
 
 
+def test_pipeline_language_rejects_what_is_in_no_language(spark, small):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").where(F.size(F.split("text", r"\s+")) >= 50)
+    rng = random.Random(6)
+    junk = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10))) for _ in range(120)) for _ in range(40)]
+    junk += [" ".join(base64.b64encode(rng.randbytes(24)).decode() for _ in range(80)) for _ in range(40)]
+    rows = [(-1 - i, x) for i, x in enumerate(junk)] + [(-1000, None), (-1001, ""), (-1002, "12 345")]
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    for f in docs.schema:
+        if f.name not in planted.columns:
+            planted = planted.withColumn(f.name, F.lit(None).cast(f.dataType))
+    both = docs.unionByName(planted.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)))
+    kept = [r.doc_id for r in corpus_pipeline.identified(spark, both, small).select("doc_id").collect()]
+    assert sum(i < 0 for i in kept) <= 4 and sum(i >= 0 for i in kept) >= 0.995 * docs.count()
+    unknown = both.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identified(spark, unknown, small).count() == both.count() - 3
+
+
 def _clean(text):
     n, _, _, _, three, five, longest = brute_repetition(text, 5)
     return 2 * three <= n and five <= 0.35 * n and longest <= 200
