@@ -83,3 +83,8 @@ def test_users_beyond_a_thousand_are_not_retargeted(spark, tmp_path):
     """Users at both sides of 1000, among them pairs of which one's new path is the other's own, negative ones and none."""
     events = "SELECT row_number() OVER () AS event_id, user_id, event_type FROM (SELECT unnest([-995, 3, 5, 5, 999, 1000, 1005, 1999, 2005, NULL]) AS user_id) CROSS JOIN (SELECT unnest(['click', 'view']) AS event_type)"
     assert agrees(spark, tmp_path, "dml05_retarget", events=events) == ""
+
+
+def test_half_balances_are_rounded_as_in_sql(spark, tmp_path):
+    customer = "SELECT CAST(i AS BIGINT) AS c_custkey, i % 3 AS c_nationkey, (i - 100) / 2.0::DOUBLE AS c_acctbal FROM range(200) t(i)"
+    assert agrees(spark, tmp_path, "grf33_nesting", customer=customer) == ""
