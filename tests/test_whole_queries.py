@@ -1,5 +1,6 @@
 """Queries over whole tables against plain versions of their own."""
 
+import random
 from collections import defaultdict
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 from oracle import compare
 from pyspark.sql import functions as F
 
-from corpusloom.operators import maintenance
+from corpusloom.operators import graph, maintenance
 from corpusloom.plans import registry
 from corpusloom.plans.book import Tables
 from corpusloom.plans.graph_queries import _matched
@@ -88,3 +89,19 @@ def test_users_beyond_a_thousand_are_not_retargeted(spark, tmp_path):
 def test_half_balances_are_rounded_as_in_sql(spark, tmp_path):
     customer = "SELECT CAST(i AS BIGINT) AS c_custkey, i % 3 AS c_nationkey, (i - 100) / 2.0::DOUBLE AS c_acctbal FROM range(200) t(i)"
     assert agrees(spark, tmp_path, "grf33_nesting", customer=customer) == ""
+
+
+def test_modularity_of_the_projection_makes_no_pairs(spark, small):
+    """Against the modularity of the pairs, with files of no, one and two communities, entities of too many files, and
+    nulls; and lineitem is read once, not joined with itself."""
+    rng = random.Random(4)
+    edges = [(f"f{rng.randint(0, 40)}", f"e{rng.randint(0, 30)}") for _ in range(200)] + [(f"f{i}", "hub") for i in range(70)] + [(None, "e1"), ("f1", None), (None, "x"), ("f2", "x"), ("f3", "e1"), ("f3", "e1")]
+    part = [(f"f{i}", i % 5) for i in range(35)] + [("f3", 4), ("f3", 4), ("f7", 0), ("f8", None), (None, 1), ("g", 2)]
+    e, p = spark.createDataFrame(edges, "from_path string, to_path string"), spark.createDataFrame(part, "node string, community long")
+    pairs = graph.projection(e)
+    for place in (p, p.where("community < 3"), p.where("node <> 'f3' AND node <> 'f7'")):
+        want = graph.modularity(pairs, place).first().modularity
+        assert graph.projection_modularity(e, place).first().modularity == pytest.approx(want, abs=1e-12)
+    assert graph.projection_modularity(e.where("to_path = 'x'"), p).first().modularity is None
+    plan = registry.QUERIES["grf21_modularity"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_partkey") and plan.count("Relation [l_orderkey") == 1
