@@ -122,7 +122,8 @@ def links(fingerprints: DataFrame, bits: str = "fingerprint", most: int = 2) ->
     first = F.coalesce(*(F.when(n <= 1, k) for k, n in enumerate(steps)))
     once = (F.col("a") < F.col("b")) | (F.col("a") != F.col("b")) & (F.element_at(F.array(*steps), F.col("grid") + 1) == 1)
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most) & (F.bit_count(apart) <= most) & (first == F.col("grid")) & once
-    return homes.join(looks, ["grid", "cell"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # Spark takes a row that makes many for one, and so these sides for small enough to broadcast
+    return homes.hint("merge").join(looks.hint("merge"), ["grid", "cell"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -388,6 +388,14 @@ def test_fingerprint_links(spark):
         simhash.links(spark.createDataFrame([(1,)], "fingerprint long"), most=3)
 
 
+def test_fingerprint_cells_are_not_broadcast(spark):
+    """Each fingerprint makes about 50 cells, which Spark's estimate doesn't count, so few fingerprints look small."""
+    df = common.saved(spark.range(2000).select(F.xxhash64("id").alias("fingerprint")))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    pairs = simhash.links(df)
+    assert pairs.count() == 0 and "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_components(spark):
     base = " ".join(f"w{i}" for i in range(300))
     texts = [*ODD, base, base.replace("w7 ", "x7 "), base.upper()]
