@@ -549,7 +549,8 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     wanted = saved(chains.select(F.col("id").alias("of")).union(chains.select("other")).distinct(), "wanted")
     texts = df.select(F.col(doc_id).alias("of"), F.col(text).alias("text")).where("of IS NOT NULL AND text IS NOT NULL")
     held = Bitmap(wanted, "of").marked(texts, "of", "hit").where("hit").drop("hit").mapInArrow(tidy(tiled), tile)
-    lines = asked.join(held, ["of", "tile"]).select("id", "other", "lo", "olo", "side", "tile", "words", F.lit(None).cast("int").alias("hi"), F.lit(None).cast("int").alias("ohi"), F.lit(None).cast("binary").alias("x"), F.lit(None).cast("binary").alias("y"))
+    # by sort and merge: Spark's estimate doesn't count the rows that a chain makes, and would broadcast them
+    lines = asked.hint("merge").join(held.hint("merge"), ["of", "tile"]).select("id", "other", "lo", "olo", "side", "tile", "words", F.lit(None).cast("int").alias("hi"), F.lit(None).cast("int").alias("ohi"), F.lit(None).cast("binary").alias("x"), F.lit(None).cast("binary").alias("y"))
     heads = chains.select("id", "other", "lo", "olo", F.lit(-1).alias("side"), F.lit(0).cast("long").alias("tile"), F.lit(None).cast("binary").alias("words"), "hi", "ohi", "x", "y")
     order, keys = ["id", "other", "lo", "olo"], ["id", "other"]
     part = T.StructType([T.StructField("id", kind), T.StructField("other", kind), *(T.StructField(c, T.IntegerType()) for c in ("start", "end", "same", "size"))])

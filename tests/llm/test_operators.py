@@ -591,6 +591,23 @@ def test_edited_passages_have_chains(size, similarity):
     assert missed == 0
 
 
+def test_tiles_asked_for_are_not_broadcast(spark):
+    """Each chain asks for several tiles, which Spark's estimate doesn't count, so few chains look small."""
+    kept, write = [], common.saved
+    line = " ".join(f"w{i}" for i in range(400))
+    df = spark.createDataFrame([(i, f"{i} {line} {i}") for i in range(6)], "doc_id long, text string")
+
+    def seen(frame, name="t"):
+        kept.append((name, frame._jdf.queryExecution().executedPlan().toString()))
+        return write(frame, name)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(substrings, "saved", seen)
+        assert substrings.passages(df).count() == 5
+    plan = dict(kept)["passages"]
+    assert re.search(r"SortMergeJoin \[of#\d+L?, tile#\d+L?\]", plan) and not re.search(r"BroadcastHashJoin \[of#\d+L?, tile#\d+L?\]", plan)
+
+
 def test_edited_passages_are_found(spark):
     """Passages of 50 to 100 words with single words edited, inside other words: the share found."""
     rng = random.Random(21)
