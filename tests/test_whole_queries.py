@@ -105,3 +105,18 @@ def test_modularity_of_the_projection_makes_no_pairs(spark, small):
     assert graph.projection_modularity(e.where("to_path = 'x'"), p).first().modularity is None
     plan = registry.QUERIES["grf21_modularity"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_partkey") and plan.count("Relation [l_orderkey") == 1
+
+
+def test_resolved_pairs_are_not_moved(spark):
+    """Against pairs of rows: symbols of several names and kinds, rows that come twice, nulls. The distinct over pairs is
+    for symbols of several names alone."""
+    rng = random.Random(6)
+    kinds = ["function", "method", "class", "enum", "module", None]
+    symbols = [(f"s{rng.randint(0, 30)}", f"m.{rng.choice('abcdef')}", rng.choice(kinds)) for _ in range(90)] + [(None, "m.a", "class")]
+    references = [(f"s{rng.randint(0, 30)}", f"q::{rng.choice('abcdef')}", rng.choice(["calls", "inherits", "uses", "imports"])) for _ in range(90)]
+    fits = {"calls": ("function", "method"), "inherits": ("class", "enum"), "uses": ("class", "enum")}
+    want = {(a, b, k) for a, n, k in references for b, m, kind in symbols if b and a != b and n[-1] == m[-1] and kind in fits.get(k, ())}
+    found = graph.resolved(spark.createDataFrame(references, "source string, name string, kind string"), spark.createDataFrame(symbols, "path string, name string, kind string"))
+    assert sorted((r.source, r.target, r.relation) for r in found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.splitlines()[0].startswith("Union")
