@@ -1,5 +1,6 @@
 """Queries over whole tables against plain versions of their own."""
 
+import os
 import random
 from collections import defaultdict
 
@@ -9,7 +10,7 @@ from oracle import compare
 from pyspark.sql import functions as F
 
 from corpusloom.operators import graph, maintenance
-from corpusloom.plans import registry
+from corpusloom.plans import lineage, registry
 from corpusloom.plans.book import Tables
 from corpusloom.plans.graph_queries import _matched
 
@@ -120,3 +121,31 @@ def test_resolved_pairs_are_not_moved(spark):
     assert sorted((r.source, r.target, r.relation) for r in found.collect()) == sorted(want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan and plan.splitlines()[0].startswith("Union")
+
+
+def test_walk_goes_by_half_steps_and_leaves_no_step(spark):
+    """Against all mass moved in each round, with edges that come twice; and tables of steps are removed, so that the
+    folder doesn't grow with the rounds."""
+    rng = random.Random(9)
+    edges = [(f"/f{rng.randint(0, 20)}", f"/e{rng.randint(0, 15)}") for _ in range(60)] + [("/alone", "/x"), ("/f1", None)]
+    near = defaultdict(list)
+    for a, b in edges:
+        near["f" + a].append(b and "e" + b)
+        if b:
+            near["e" + b].append("f" + a)
+    df, seeds = spark.createDataFrame(edges, "from_path string, to_path string"), spark.createDataFrame([("/e1",), ("/e2",), ("/e2",), ("/none",)], "path string")
+    for rounds, restart in ((1, 0.5), (2, 0.5), (3, 0.2), (8, 0.5), (9, 0.5)):
+        own = {"e/e1", "e/e2"}
+        mass = dict.fromkeys(own, 1 / 2)
+        for _ in range(rounds):
+            after = defaultdict(float, dict.fromkeys(own, restart / 2))
+            for a, m in mass.items():
+                for b in near[a]:
+                    after[b] += (1 - restart) * m / len(near[a])
+            mass = {a: m for a, m in after.items() if a}
+        want = {a[1:]: m for a, m in mass.items() if a[0] == "f"}
+        before = set(os.listdir(lineage.folder(df).removeprefix("file:")))
+        got = {r.filepath: r.mass for r in graph.pagerank(df, seeds, restart, rounds).collect()}
+        assert got == pytest.approx({a: m / max(want.values()) for a, m in want.items()}, rel=1e-9)
+        assert len(set(os.listdir(lineage.folder(df).removeprefix("file:"))) - before) <= 5
+    assert graph.pagerank(df, seeds, rounds=0).count() == 0 and graph.pagerank(df, seeds.where("path = '/none'")).count() == 0
