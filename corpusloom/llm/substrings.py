@@ -451,7 +451,7 @@ def exact_parts(runs: DataFrame, words: int) -> DataFrame:
     rest = runs.where("hi = 0").select("g", "id", "lo")
     first = Bitmap(rest.select("g").distinct(), "g").marked(runs.where("hi = 1"), "g", "hit").where("hit").select("g", "id", "lo")
     star = saved(rest.union(first).groupBy("g").agg(F.min("id").alias("other"), F.max("id").alias("most")).where("other < most").select("g", "other"), "run-star")
-    both = rest.join(star, "g").where("id > other")
+    both = rest.join(star.hint("merge"), "g").where("id > other")  # a file of some MB would be a table of hashes of 200 MB on the driver
     return both.select("id", "other", F.col("lo").alias("start"), (F.col("lo") + words).cast("int").alias("end"), F.lit(0).alias("same"), F.lit(0).alias("size"))
 
 
