@@ -149,3 +149,51 @@ def test_walk_goes_by_half_steps_and_leaves_no_step(spark):
         assert got == pytest.approx({a: m / max(want.values()) for a, m in want.items()}, rel=1e-9)
         assert len(set(os.listdir(lineage.folder(df).removeprefix("file:"))) - before) <= 5
     assert graph.pagerank(df, seeds, rounds=0).count() == 0 and graph.pagerank(df, seeds.where("path = '/none'")).count() == 0
+
+
+def _walked(edges, own, rounds, restart=0.5):
+    """Files' mass over the largest, by plain rounds."""
+    near = defaultdict(list)
+    for a, b in edges:
+        if a:
+            near["f" + a].append(b and "e" + b)
+        if b:
+            near["e" + b].append(a and "f" + a)
+    mass = dict.fromkeys(own, 1 / len(own))
+    for _ in range(rounds):
+        after = defaultdict(float, dict.fromkeys(own, restart / len(own)))
+        for a, m in mass.items():
+            for b in near[a]:
+                after[b] += (1 - restart) * m / len(near[a])
+        mass = {a: m for a, m in after.items() if a}
+    files = {a[1:]: m for a, m in mass.items() if a[0] == "f"}
+    return {a: m / max(files.values()) for a, m in files.items()}
+
+
+def test_walk_by_blocks_of_any_size(spark):
+    """Files over many blocks, blocks without an entity, a hub on either side, edges that come twice and without an end."""
+    rng = random.Random(13)
+    edges = [(f"/f{rng.randint(0, 40)}", f"/e{rng.randint(0, 25)}") for _ in range(120)]
+    edges += [("/hub", f"/e{i}") for i in range(0, 40, 2)] + [(f"/f{i}", "/hub") for i in range(0, 60, 3)] + [("/a", None), ("/zz", None), (None, "/e1"), (None, "/hub"), (None, None), ("/f1", None), ("/far", "/away")]
+    df, seeds = spark.createDataFrame(edges, "from_path string, to_path string"), spark.createDataFrame([("/e1",), ("/hub",), ("/e1",), (None,), ("/none",)], "path string")
+    for block, rounds, restart in ((1, 5, 0.5), (20, 6, 0.3), (20, 2, 0.5), (70, 30, 0.5)):
+        got = {r.filepath: r.mass for r in graph.pagerank(df, seeds, restart, rounds, block=block).collect()}
+        assert got == pytest.approx(_walked(edges, ["e/e1", "e/hub"], rounds, restart), rel=1e-9)
+
+
+def test_walk_moves_the_edges_once(spark):
+    """The rows of all shuffles of a walk are the edges and a few for each block, however many the rounds."""
+
+    def moved() -> dict:
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    rng = random.Random(14)
+    edges = list({(f"/f{i}", f"/e{rng.randint(0, 49)}") for i in range(1000) for _ in range(5)})
+    df, seeds = spark.createDataFrame(edges, "from_path string, to_path string"), spark.createDataFrame([("/e1",)], "path string")
+    before = moved()
+    got = {r.filepath: r.mass for r in graph.pagerank(df, seeds, rounds=9).collect()}
+    assert sum(n for k, n in moved().items() if k not in before) < 2 * len(edges)
+    assert got == pytest.approx(_walked(edges, ["e/e1"], 9), rel=1e-9)
