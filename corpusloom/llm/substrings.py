@@ -43,7 +43,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 TILE = 256
 #: Entries that a bucket of hashes should have, rows that a task packs at once, bytes of text for a bucket of ids.
-BUCKET, ROWS, ID_BUCKET = 1 << 19, 1 << 18, 1 << 27
+BUCKET, ROWS, ID_BUCKET = 1 << 20, 1 << 18, 1 << 25
+#: Bytes of packed links that are unpacked at once, and links of whole documents that are chained at once.
+LINK_BYTES, LINKS = 1 << 24, 1 << 16
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +84,30 @@ def seeds_of(codes: np.ndarray, first: np.ndarray, k: int, window: int = 1) -> t
     return text[at], at - first[:-1][text[at]], run[at]
 
 
+def by_hash(h: np.ndarray) -> np.ndarray:
+    """The stable order of hashes. Hash and index are sorted as one number, which is several times as fast as sorting indices; if
+    the number has no room for all bits of the hash and so two hashes come mixed, indices are sorted after all."""
+    if len(h) < 2:
+        return np.arange(len(h))
+    x = h.view(np.uint64)
+    x = x - x.min()
+    bits = len(h).bit_length()
+    drop = max(0, int(x.max()).bit_length() + bits - 64)
+    key = x >> np.uint64(drop) << np.uint64(bits) | np.arange(len(h), dtype=np.uint64)
+    key.sort()
+    order = (key & np.uint64((1 << bits) - 1)).view(np.int64)
+    if drop:
+        x = x[order]
+        if (x[1:] < x[:-1]).any():
+            return np.argsort(h, kind="stable")
+    return order
+
+
 def numbered(row: np.ndarray, at: np.ndarray, h: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place, hash of so many bits), by hash, of seeds that come by row and position. A place is twice the position, plus one if the text holds the seed earlier already. Such a seed comes a second time, with its
     number mixed in, so that repetitive texts match occurrence by occurrence."""
     h = h >> np.uint64(64 - bits)
-    order = np.argsort(h, kind="stable")
+    order = by_hash(h)
     row, at, h = row[order], 2 * at[order], h[order]
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
@@ -95,7 +116,7 @@ def numbered(row: np.ndarray, at: np.ndarray, h: np.ndarray, bits: int = 64) ->
         return row, at, h
     number = again - np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))[again]
     mixed = mix(h[again] + mix(number.astype(np.uint64))) >> np.uint64(64 - bits)
-    order = np.argsort(mixed, kind="stable")
+    order = by_hash(mixed)
     own, mixed = again[order], mixed[order]
     where = np.searchsorted(h, mixed)
     return np.insert(row, where, row[own]), np.insert(at + same, where, at[own]), np.insert(h, where, mixed)
@@ -181,10 +202,19 @@ def unpacked(value: bytes, size: int, kind: pa.DataType) -> tuple[pa.Array, list
     return ids, found[:n_rows], found[n_rows:]
 
 
-def links(df: DataFrame, doc_id: str, text: str, k: int, window: int = 1, block_bytes: int = 5 << 19) -> DataFrame:
-    """(id, other, at, there, h), parted by id: places (as numbered() has them) of seeds that two documents hold or more, with the
-    first document that holds the seed, or the first one of the same block, and its place there. `other` is the
-    document itself where it is the first."""
+def spread(ids: pa.Array) -> np.ndarray:
+    """A hash of each id, by which links are dealt."""
+    if pa.types.is_integer(ids.type):
+        return mix(np.asarray(ids).astype(np.int64).view(np.uint64))
+    return mix(np.fromiter((xxhash.xxh64_intdigest(x) for x in ids.to_pylist()), np.uint64, len(ids)))
+
+
+def arrow_type(kind: T.DataType) -> pa.DataType:
+    return pa.string() if isinstance(kind, T.StringType) else {"long": pa.int64(), "integer": pa.int32(), "short": pa.int16(), "byte": pa.int8()}[kind.typeName()]
+
+
+def packed_links(df: DataFrame, doc_id: str, text: str, k: int, window: int = 1, block_bytes: int = 5 << 19) -> DataFrame:
+    """(bucket, local, size, value), parted by bucket, of links() packed; all rows of an id are in one bucket."""
     kind = df.schema[doc_id].dataType
     texts = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -236,8 +266,7 @@ def links(df: DataFrame, doc_id: str, text: str, k: int, window: int = 1, block_
                 if out:
                     yield rows_of(out)
 
-    schema = T.StructType([T.StructField("id", kind), T.StructField("other", kind), T.StructField("at", T.IntegerType()), T.StructField("there", T.IntegerType()), T.StructField("h", T.LongType())])
-    id_type = pa.string() if isinstance(kind, T.StringType) else {"long": pa.int64(), "integer": pa.int32(), "short": pa.int16(), "byte": pa.int8()}[kind.typeName()]
+    id_type = arrow_type(kind)
 
     def dealt(found: list[tuple]) -> Iterator[pa.RecordBatch]:
         """Links, packed by buckets of ids."""
@@ -245,8 +274,7 @@ def links(df: DataFrame, doc_id: str, text: str, k: int, window: int = 1, block_
         base = np.cumsum([0, *(len(f[0]) for f in found)])
         a, b = (np.concatenate([f[c] + n for f, n in zip(found, base, strict=False)]) for c in (1, 2))
         at, there, h = (np.concatenate([f[c] for f in found]) for c in (3, 4, 5))
-        key = np.asarray(ids).astype(np.int64).view(np.uint64) if pa.types.is_integer(ids.type) else np.fromiter((xxhash.xxh64_intdigest(x) for x in ids.to_pylist()), np.uint64, len(ids))
-        bucket = (mix(key) % np.uint64(id_buckets)).astype(np.int64)[a]
+        bucket = (spread(ids) % np.uint64(id_buckets)).astype(np.int64)[a]
         order = np.lexsort((at, a, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(id_buckets + 1))
         out = []
@@ -275,7 +303,7 @@ def links(df: DataFrame, doc_id: str, text: str, k: int, window: int = 1, block_
                 if ids:
                     ids, row, h, at = pa.concat_arrays(ids), np.concatenate(row), np.concatenate(h), np.concatenate(at)
                     flag, at, rank = at % 2 == 1, at // 2, ranks(ids)
-                    order = np.argsort(h, kind="stable")
+                    order = by_hash(h)
                     row, h, at, flag = row[order], h[order], at[order], flag[order]
                     del order
                     both = by_holder(shared_groups(h, flag), h, rank[row], at)  # a flagged hash is shared though its entry is the only one
@@ -295,15 +323,66 @@ def links(df: DataFrame, doc_id: str, text: str, k: int, window: int = 1, block_
         if n_held:
             yield from dealt(held)
 
+    moved = texts.mapInArrow(tidy(entries), blob).repartition("bucket").sortWithinPartitions("bucket")
+    return moved.mapInArrow(tidy(met), blob).repartition("bucket")
+
+
+def links(df: DataFrame, doc_id: str, text: str, k: int, window: int = 1, block_bytes: int = 5 << 19) -> DataFrame:
+    """(id, other, at, there, h), parted by id: places (as numbered() has them) of seeds that two documents hold or more, with the
+    first document that holds the seed, or the first one of the same block, and its place there. `other` is the
+    document itself where it is the first."""
+    kind = df.schema[doc_id].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("other", kind), T.StructField("at", T.IntegerType()), T.StructField("there", T.IntegerType()), T.StructField("h", T.LongType())])
+    id_type = arrow_type(kind)
+
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for size, value in zip(batch.column("size").to_pylist(), batch.column("value"), strict=True):
                 ids, (a, b), (at, there, h) = unpacked(value.as_py(), size, id_type)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(at.astype(np.int32)), pa.array(there.astype(np.int32)), pa.array(h)], names=schema.names)
 
-    moved = texts.mapInArrow(tidy(entries), blob).repartition("bucket").sortWithinPartitions("bucket")
-    # all rows of an id are in one bucket, so what comes out is parted by id
-    return moved.mapInArrow(tidy(met), blob).repartition("bucket").mapInArrow(tidy(plain), schema)
+    return packed_links(df, doc_id, text, k, window, block_bytes).mapInArrow(tidy(plain), schema)
+
+
+def links_by_id(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, most: int = LINK_BYTES, rows: int = LINKS) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Of packed links that come by bucket: distinct ids and, by id, other and place, the numbers of id and other among
+    them, both places and the hash, all rows of an id at once. A bucket of over `most` bytes is read once for each share
+    of its ids."""
+    for table, bounds in whole_groups(batches, ["bucket"]):
+        sizes, values = table.column("size").to_numpy(), table.column("value")
+        for i, j in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+            shares = -(-int(sizes[i:j].sum()) // most)
+            for share in range(shares):
+                ids, found, base = [], [], 0
+                for r in range(i, j):
+                    own, of, numbers = unpacked(values[r].as_py(), int(sizes[r]), id_type)
+                    columns = [*of, *numbers]
+                    if shares > 1:
+                        ours = np.flatnonzero(((spread(own) >> np.uint64(32)) % np.uint64(shares) == share)[of[0]])
+                        columns = [c[ours] for c in columns]
+                    found.append([columns[0] + base, columns[1] + base, *columns[2:]])
+                    ids.append(own)
+                    base += len(own)
+                ids = pa.concat_arrays(ids)
+                place, (a, b, at, there, h) = ranks(ids), (np.concatenate(c) for c in zip(*found, strict=True))
+                if not len(a):
+                    continue
+                del found
+                distinct = ids.take(pa.array(np.unique(place, return_index=True)[1]))
+                a, b = place[a], place[b]
+                bits = int(at.max()).bit_length()
+                if 2 * len(distinct).bit_length() + bits < 64:
+                    order = np.argsort((a * len(distinct) + b) << bits | at)
+                else:
+                    order = np.lexsort((at, b, a))
+                columns = [c[order] for c in (a, b, at, there, h)]
+                del a, b, at, there, h, order
+                ends = np.append(np.flatnonzero(np.diff(columns[0])) + 1, len(columns[0]))
+                begin = 0
+                while begin < ends[-1]:
+                    end = int(ends[min(np.searchsorted(ends, begin + rows), len(ends) - 1)])
+                    yield distinct, [c[begin:end] for c in columns]
+                    begin = end
 
 
 def thinned(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
@@ -472,6 +551,7 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     """Passages that an earlier document holds too: doc_id, start and end (words, end excluded), first_ids (earlier
     documents they were aligned with) and similarity (share of aligned words)."""
     k, kind = seed_words, df.schema[doc_id].dataType
+    id_type = arrow_type(kind)
     if min_words < k:
         raise ValueError("the runs are made of seeds")
     spans = T.StructType([T.StructField("id", kind), T.StructField("other", kind), *(T.StructField(c, T.IntegerType()) for c in ("lo", "hi", "olo", "ohi")), T.StructField("x", T.BinaryType()), T.StructField("y", T.BinaryType()), T.StructField("g", T.LongType())])
@@ -481,12 +561,9 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chains, and the runs that the exact route may need (g not null, lo their start; hi is 1 if the document is the
         first one with each seed of the run, and 0 else)."""
-        for rows, bounds in whole_groups(thick(batches), ["id"]):
-            at, there, ids, others, h = rows.column("at").to_numpy(), rows.column("there").to_numpy(), rows.column("id").combine_chunks(), rows.column("other").combine_chunks(), rows.column("h").to_numpy().view(np.uint64)
-            xs, ys = at // 2, there // 2
-            self_first = np.asarray(pc.equal(ids, others))
-            code = np.asarray(others.dictionary_encode().indices).astype(np.int64)
-            group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        for ids, (group, code, at, there, h) in links_by_id(batches, id_type):
+            xs, ys, h = at // 2, there // 2, h.view(np.uint64)
+            self_first = group == code
             cut = np.flatnonzero(np.append(True, (np.diff(code) != 0) | (np.diff(group) != 0)))
             ends = np.append(cut[1:], len(xs))
             # a group whose positions span too little can't hold a part
@@ -502,13 +579,12 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
                         of.append(i)
                         out.append((int(p[0]), int(p[-1]) + k, int(q[0]), int(q[-1]) + k, p.astype("<i4").tobytes(), q.astype("<i4").tobytes()))
             if of:
-                take = pa.array(of)
-                yield pa.RecordBatch.from_arrays([ids.take(take), others.take(take), *(pa.array([o[c] for o in out], pa.int32()) for c in range(4)), *(pa.array([o[c] for o in out], pa.binary()) for c in (4, 5)), pa.nulls(len(of), pa.int64())], names=spans.names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(group[of])), ids.take(pa.array(code[of])), *(pa.array([o[c] for o in out], pa.int32()) for c in range(4)), *(pa.array([o[c] for o in out], pa.binary()) for c in (4, 5)), pa.nulls(len(of), pa.int64())], names=spans.names)
             # of a place's rows the odd one has the words' own hash, the other one has a number mixed in
             order = np.lexsort((at, group))
             last = np.append((np.diff(xs[order]) != 0) | (np.diff(group[order]) != 0), True)
             order = order[last]
-            x, n = xs[order] + group[order].astype(np.int64) * (1 << 32), min_words - k + 1
+            x, n = xs[order] + group[order] * (1 << 32), min_words - k + 1
             full = uncovered_runs(x, code[order], ys[order] - xs[order], self_first[order], n)
             if len(full):
                 g = np.zeros(len(full), np.uint64)
@@ -517,10 +593,9 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
                 start, none = order[full], pa.nulls(len(full), pa.int32())
                 others_before = np.append(0, np.cumsum(~self_first[order]))
                 alone = others_before[full + n] == others_before[full]
-                take = pa.array(start)
-                yield pa.RecordBatch.from_arrays([ids.take(take), pa.nulls(len(full), others.type), pa.array(xs[start].astype(np.int32)), pa.array(alone.astype(np.int32)), none, none, pa.nulls(len(full), pa.binary()), pa.nulls(len(full), pa.binary()), pa.array(g.view(np.int64))], names=spans.names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(group[start])), pa.nulls(len(full), ids.type), pa.array(xs[start].astype(np.int32)), pa.array(alone.astype(np.int32)), none, none, pa.nulls(len(full), pa.binary()), pa.nulls(len(full), pa.binary()), pa.array(g.view(np.int64))], names=spans.names)
 
-    found = saved(links(df, doc_id, text, k, window).sortWithinPartitions("id", "other", "at").mapInArrow(tidy(chained), spans), "chains")
+    found = saved(packed_links(df, doc_id, text, k, window).sortWithinPartitions("bucket").mapInArrow(tidy(chained), spans), "chains")
     chains = found.where("g IS NULL").drop("g")
 
     # the words of both sides, in tiles, so that what is asked of a document is at most the document

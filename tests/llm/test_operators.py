@@ -608,6 +608,54 @@ def test_tiles_asked_for_are_not_broadcast(spark):
     assert re.search(r"SortMergeJoin \[of#\d+L?, tile#\d+L?\]", plan) and not re.search(r"BroadcastHashJoin \[of#\d+L?, tile#\d+L?\]", plan)
 
 
+def test_links_are_sorted_packed(spark):
+    """Spark's sort sees buckets of packed links, not a row for each link."""
+    kept, write = [], common.saved
+    df, _, _ = passage_fixture(spark)
+
+    def seen(frame, name="t"):
+        kept.append((name, frame._jdf.queryExecution().executedPlan().toString()))
+        return write(frame, name)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(substrings, "saved", seen)
+        assert substrings.passages(df).count() == 9
+    plan = dict(kept)["chains"]
+    assert set(re.findall(r"Sort \[(\w+)", plan)) == {"bucket"} and plan.count("MapInArrow") == 3
+
+
+@pytest.mark.parametrize("kind", [pa.int64(), pa.string()])
+def test_links_come_by_id_from_any_number_of_shares(kind):
+    """Buckets too large to be unpacked at once, several packs with some ids in common, pieces of few rows."""
+    rng = np.random.default_rng(3)
+    want, rows = set(), []
+    for bucket in range(3):
+        for _ in range(4):
+            ids = pa.array(np.unique(rng.integers(0, 40, 25)) * 3 + bucket).cast(kind)
+            a, b = rng.integers(0, len(ids), (2, 200))
+            at, there, h = rng.integers(0, 1 << 30, (3, 200))
+            rows.append((bucket, False, *substrings.packed(ids, [a, b], [at, there, h])))
+            name = ids.to_pylist()
+            want |= {(name[i], name[j], *n) for i, j, *n in zip(a, b, at.tolist(), there.tolist(), h.tolist(), strict=True)}
+    batch = pa.RecordBatch.from_pylist([dict(zip(("bucket", "local", "size", "value"), r, strict=True)) for r in rows])
+    for most, piece in ((1 << 24, 1 << 16), (1 << 24, 50), (3000, 50)):
+        got, seen = [], []
+        for ids, (a, b, *numbers) in substrings.links_by_id(iter([batch.slice(0, 5), batch.slice(5)]), kind, most, piece):
+            name = ids.to_pylist()
+            part = [(name[i], name[j], *n) for i, j, *n in zip(a, b, *(c.tolist() for c in numbers), strict=True)]
+            assert part == sorted(part)
+            got += part
+            seen += sorted({r[0] for r in part})
+        assert len(got) == 2400 and {*got} == want and len(seen) == len({*seen})
+
+
+def test_hashes_are_sorted_stably():
+    rng = np.random.default_rng(4)
+    for h in (rng.integers(0, 300, 1000), rng.integers(0, 1 << 63, 1000), np.repeat(rng.integers(0, 1 << 63, 50), 20) + np.tile([0, 1], 500), np.zeros(0, int), np.zeros(1, int)):
+        for x in (h.astype(np.uint64), (h >> 1).astype(np.int64)):
+            assert (substrings.by_hash(x) == np.argsort(x, kind="stable")).all()
+
+
 def test_edited_passages_are_found(spark):
     """Passages of 50 to 100 words with single words edited, inside other words: the share found."""
     rng = random.Random(21)
