@@ -26,6 +26,7 @@ repeated rows count as one document; an empty table has no passages; extra colum
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -405,22 +406,24 @@ def chain(x: list[int], y: list[int], k: int, gap_cost: float = 0.15) -> list[li
     if n == 1 or all(y[i] - x[i] == y[0] - x[0] and x[i] - x[i - 1] <= 3 * k for i in range(1, n)):
         return [[*range(n)]]
     ranks = {v: r + 1 for r, v in enumerate(sorted({*y}))}
-    tree = [(-1e18, -1)] * (len(ranks) + 1)
+    size = len(ranks) + 1
+    tree = [(-1e18, -1)] * size
     score, back, waiting = [0.0] * n, [-1] * n, []
     for i in range(n):
         # matches at the same x can't follow one another: they enter the tree with the next x
         if i and x[i] != x[i - 1]:
             for j in waiting:
                 entry, r = (score[j] + gap_cost * (x[j] + y[j]), j), ranks[y[j]]
-                while r < len(tree):
+                while r < size:
                     if tree[r] < entry:
                         tree[r] = entry
                     r += r & -r
             waiting = []
         best, r = (-1e18, -1), ranks[y[i]] - 1
         while r:
-            best = max(best, tree[r])
-            r -= r & -r
+            if tree[r] > best:
+                best = tree[r]
+            r &= r - 1
         gain = best[0] - gap_cost * (x[i] + y[i]) + k  # what lies between is charged, the step to the next word isn't
         score[i] = k + max(0.0, gain)
         back[i] = best[1] if gain > 0 else -1
@@ -456,6 +459,12 @@ def subsequence(a: list[int], b: list[int]) -> int:
     return row[-1]
 
 
+@functools.cache
+def edits(most: int) -> list[tuple[int, int]]:
+    """How many words may be passed on either side, least first."""
+    return sorted(((p, q) for p in range(most + 1) for q in range(most + 1) if p or q), key=lambda s: (max(s), s))
+
+
 def extend(a: np.ndarray, b: np.ndarray, most_edits: int = 3, sure: int = 3, calm: bool = True) -> tuple[int, int, int]:
     """How far a and b run alike from their starts: words of a, words of b, words alike. Up to so many words may differ
     at a place if the `sure` next ones agree and, when `calm`, the whole stays alike enough."""
@@ -463,9 +472,10 @@ def extend(a: np.ndarray, b: np.ndarray, most_edits: int = 3, sure: int = 3, cal
     while True:
         n = common_prefix(a[i:], b[j:])
         i, j, same = i + n, j + n, same + n
-        for di, dj in sorted(((p, q) for p in range(most_edits + 1) for q in range(most_edits + 1) if p or q), key=lambda s: (max(s), s)):
-            x, y = a[i + di : i + di + sure], b[j + dj : j + dj + sure]
-            if len(x) == len(y) == sure and (x == y).all() and (not calm or 10 * max(di, dj) <= i + 10):
+        u, v = a[i : i + most_edits + sure].tolist(), b[j : j + most_edits + sure].tolist()
+        for di, dj in edits(most_edits):
+            x = u[di : di + sure]
+            if len(x) == sure and x == v[dj : dj + sure] and (not calm or 10 * max(di, dj) <= i + 10):
                 i, j = i + di, j + dj
                 break
         else:
@@ -485,6 +495,10 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, ma
                 same += k - skip
                 i, j = p + k, q + k
             continue
+        if p == i and q == j:  # nothing between
+            same += k
+            i, j = p + k, q + k
+            continue
         u, v = a[i:p], b[j:q]
         ahead = common_prefix(u, v)
         u, v = u[ahead:], v[ahead:]

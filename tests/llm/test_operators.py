@@ -213,6 +213,19 @@ def test_word_hashes_and_distinct_spans():
     assert len({*zip(words, h.tolist(), strict=True)}) == len({*words}) == len({*h.tolist()})
 
 
+def test_hashes_of_long_words_are_xxh64():
+    rng = np.random.default_rng(7)
+    raw = rng.integers(0, 256, 5000).astype(np.uint8)
+    for size in range(9, 41):
+        starts = np.append(np.sort(rng.integers(0, 5000 - size, 5)), 5000 - size)
+        starts = starts[np.append(True, np.diff(starts) >= size)]
+        want = [xxhash.xxh64_intdigest(raw[s : s + size].tobytes(), 7) for s in starts]
+        assert common.word_hashes(raw, starts, starts + size).tolist() == want
+    starts, size = np.sort(rng.integers(0, 4960, 3000)), rng.integers(0, 32, 3000)
+    want = [xxhash.xxh64_intdigest(raw[s : s + n].tobytes(), 9) for s, n in zip(starts, size, strict=True)]
+    assert common.xxh64_under_32(raw, starts, size, 9).tolist() == want
+
+
 # 7: language
 
 
@@ -731,6 +744,19 @@ def test_columns_named_like_ours_pass(spark):
     assert out.columns == df.columns and (row.cut_id, row.cut_spans, row.cut_hit, row.page, row.bits) == (7, "mine", 1, 2, 3) and len(row.text) < len(texts[3])
 
 
+def test_anchors_side_by_side_are_one_part():
+    """Matches with nothing between them aren't compared word by word, and count as the words they are."""
+    a = np.arange(1, 401, dtype=np.uint64)
+    b = np.concatenate([a[:200], np.arange(1000, 1003, dtype=np.uint64), a[200:]])
+    x = np.append(np.arange(0, 200, 5), np.arange(200, 400, 5))
+    y = x + 3 * (x >= 200)
+    with pytest.MonkeyPatch.context() as patch:
+        calls, prefix = [], substrings.common_prefix
+        patch.setattr(substrings, "common_prefix", lambda u, v: calls.append(1) or prefix(u, v))
+        assert substrings.align(a, b, x, y, 5, 16) == [(0, 400, 0, 403, 400)]
+    assert len(calls) < 10
+
+
 def test_thinned_matches_hold_the_same_words():
     rng = np.random.default_rng(2)
     for _ in range(100):
