@@ -5,7 +5,8 @@
    of texts, a holder meets the block's first holder where it lies; only the first holder's entry goes on, so a seed that
    a third of all documents hold sends one entry a block. Entries go to buckets by their hash, packed (about 8 bytes an
    entry instead of 40), and meet the first holder of all there. Entries without a partner end there: later steps only
-   see seeds that two documents hold. Rows grow with the seeds, not with the square of a group.
+   see seeds that two documents hold. Rows grow with the seeds, not with the square of a group. Links go on packed, by
+   buckets of ids, to the task that chains them, which sorts a bucket, or a share of its ids, at once.
 3. Chaining: the matches of a document with one earlier document are taken by position; a Fenwick tree over the
    positions in the other document has prefix maxima of score plus gap cost, so each match finds its best predecessor
    in logarithmic time. The cost is linear in the words skipped on both sides; a chain that doesn't pay ends.
