@@ -197,3 +197,15 @@ def test_walk_moves_the_edges_once(spark):
     got = {r.filepath: r.mass for r in graph.pagerank(df, seeds, rounds=9).collect()}
     assert sum(n for k, n in moved().items() if k not in before) < 2 * len(edges)
     assert got == pytest.approx(_walked(edges, ["e/e1"], 9), rel=1e-9)
+
+
+def test_resolved_pairs_take_little_space(spark, tmp_path):
+    """Four and a half million pairs of two names, whole and written in less than a quarter of a byte each."""
+    n, m = 1501, 1503
+    symbols = spark.range(2 * m).selectExpr("concat('/sym/', id) AS path", "concat('a.', id % 2) AS name", "'class' AS kind")
+    references = spark.range(2 * n).selectExpr("concat('/ref/', id) AS source", "concat('b.', id % 2) AS name", "'inherits' AS kind")
+    found = graph.resolved(references, symbols).select("source", "target", "relation", "confidence")
+    found.write.parquet(f"{tmp_path}/pairs")
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 2 * n * m / 4
+    right = "CAST(split_part(source, '/', 3) AS INT) % 2 = CAST(split_part(target, '/', 3) AS INT) % 2"
+    assert duckdb.sql(f"SELECT count(DISTINCT (source, target)), count(*), bool_and({right}) FROM '{tmp_path}/pairs/*.parquet'").fetchall() == [(2 * n * m, 2 * n * m, True)]
